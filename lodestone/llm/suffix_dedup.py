@@ -140,6 +140,8 @@ def _scan(width: int, gram: int):
     def flush(parts):
         h, digest, d, place = (np.concatenate(x) for x in zip(*parts))
         first = _firsts(h, digest, d, place)
+        # what is known already needs no meeting place, and is dealt evenly
+        h = np.where(first, h, _mix(place.view(np.uint64) ^ d.view(np.uint64) * U(0xD6E8FEB86659FD93)))
         place = np.where(first, place, place | KNOWN)
         for i in range(0, len(h), 1 << 16):
             yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (h.view(np.int64), digest.view(np.int64), d, place)], names=["h", "digest", "d", "place"])
