@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ._common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, judge
+
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +30,14 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_repeated_units
+
+    found = remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = (F.length("text") - F.length("_kept")).cast("long").alias("n_removed")
+    return found.select("doc_id", n_removed, F.col("_spans").alias("spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree import score
 
