@@ -27,7 +27,7 @@ COMMON_WORDS = {
 CLASSES = (r"a-z\u00DF-\u00F6\u00F8-\u00FF", r"A-Z\u00C0-\u00D6\u00D8-\u00DE", r".,;:!?'\"()\-")
 SYMBOLS, DIGITS = r"#*$%&|<>", "0-9"
 MIN_WORDS, MIN_COMMON = 50, 20
-MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.025, 0.35
+MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.02, 0.35
 WINDOW = 5
 _ANY = sorted({w for words in COMMON_WORDS.values() for w in words})
 
