@@ -33,7 +33,7 @@ DEPTH, LEAST, DIVERGENCE = 3, 1e-4, 0.01
 #: A context's successors with fewer than least/RARE of all tokens are left to its parent.
 RARE = 100
 #: Bytes of text that are tokenised, and scored, at a time.
-BUCKET = 24e6
+BUCKET = 16e6
 START, END = 0, 1
 BASE = 0xD1342543DE82EF95
 
@@ -140,7 +140,7 @@ def _sequence(symbols: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tupl
 
 
 def _counted(symbols: Symbols, lowest: int, depth: int, within: np.ndarray | None):
-    """Counts of contexts' successors; of contexts whose last `lowest` symbols are among the hashes within, if given."""
+    """Counts of the successors of contexts of lowest to depth symbols; of those whose hashes are within, if given."""
 
     def rows(batches):
         for b in batches:
@@ -148,15 +148,11 @@ def _counted(symbols: Symbols, lowest: int, depth: int, within: np.ndarray | Non
                 held, lengths, ids, words = (b.column(k)[i].values for k in ("held", "lengths", "ids", "words"))
                 train, lengths = ~held.to_numpy(zero_copy_only=False), lengths.to_numpy()
                 seq, place, _ = _sequence(symbols.of(words.to_pylist()), ids.to_numpy()[np.repeat(train, lengths)], lengths[train])
-                kept = None
                 for d, at, hashes, parent in _contexts(seq, place, depth):
                     if d < lowest:
                         continue
                     if within is not None:
-                        ok = _among(hashes, within) if d == lowest else kept[at]
-                        if d == lowest:
-                            kept = np.zeros(len(seq), bool)
-                            kept[at[ok]] = True
+                        ok = _among(hashes, within)
                         at, hashes, parent = at[ok], hashes[ok], parent[ok]
                     if not len(at):
                         continue
@@ -246,16 +242,16 @@ class Tree:
 
 
 def fit(tokens: DataFrame, symbols: Symbols, total: int, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE) -> Tree:
-    """Two passes over the tokens: contexts of one symbol, then longer ones whose last two are a frequent pair."""
-    short = _successors(tokens, symbols, total, least, 0, min(depth, 1), None)
-    found = [short]
-    if depth > 1 and total:
-        codes = _code(np.arange(len(symbols.counts)))
-        pairs = [(U(r.context % (1 << 64)), x["symbol"]) for r in short.itertuples() if r.depth == 1 for x in r.next if x["n"] >= least * total]
-        within = np.array([int(codes[s]) + int(c) * BASE for c, s in pairs], object) % (1 << 64) if pairs else np.empty(0)
-        within = np.sort(within.astype(np.uint64))
-        if len(within):
-            found.append(_successors(tokens, symbols, total, least, 2, depth, within))
+    """A pass over the tokens for contexts of up to one symbol, and one for each further length, for frequent ones."""
+    found = [_successors(tokens, symbols, total, least, 0, min(depth, 1), None)]
+    codes = _code(np.arange(len(symbols.counts)))
+    for d in range(2, depth + 1):
+        # a context that is frequent follows from a frequent successor of one a symbol shorter
+        longer = [(int(r.context), x["symbol"]) for r in found[-1].itertuples() if r.depth == d - 1 for x in r.next if x["n"] >= least * total]
+        within = np.array(sorted((int(codes[s]) + c * BASE) % (1 << 64) for c, s in longer), np.uint64)
+        if not len(within):
+            break
+        found.append(_successors(tokens, symbols, total, least, d, d, within))
     return Tree(pd.concat(found), len(symbols.counts), depth, divergence)
 
 
