@@ -45,7 +45,8 @@ def _digests(by: str, min_words: int):
         for b in batches:
             ids, tags, places, found = [], [], [], []
             for d, tag, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for i, (x, y) in enumerate(units(text or "", by)):
+                text = text or ""
+                for i, (x, y) in enumerate(units(text, by)):
                     if own := digest(text[x:y], min_words):
                         ids.append(d), tags.append(tag), places.append(i), found.append(own)
             both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
