@@ -10,6 +10,7 @@ neutral mention of a group costs nothing.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remainder
+from ._common import remainder, store
 
 #: Groups of terms that may be exchanged for one another.
 IDENTITY_GROUPS = (
@@ -33,7 +34,7 @@ IDENTITY_GROUPS = (
     ("old", "young", "disabled", "blind", "deaf"),
 )
 GROUP_OF = {w: group for group in IDENTITY_GROUPS for w in group}
-#: Labelled rows that the weights are fitted on at most, the ones with the least digest of their id.
+#: Labels that the weights are fitted on at most, the ones with the least digest of their id.
 SAMPLE = 24_000
 FEATURES = 6000
 MIN_DOCS = 4
@@ -102,13 +103,13 @@ def _featured(batches):
 def fit(labelled: DataFrame, penalty: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> Model:
     """labelled: doc_id, text, toxic (0 or 1).
 
-    The features are chosen by their document frequencies over all labelled rows: the FEATURES with the largest
-    chi-square, MIN_CHI at least, among those in MIN_DOCS rows or more, and all identity terms. The weights are fitted on at
-    most SAMPLE rows. Labels of one kind only give a constant score; no labels, one half.
+    Features are the FEATURES with the largest chi-square, MIN_CHI at least, among those in MIN_DOCS rows or more,
+    and all identity terms. Labels of one kind only give a constant score; no labels, one half. The rows come to
+    the driver as places of features: pass a bounded sample.
     """
-    rows = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_distinct, "doc_id long, toxic int, words array<string>")
+    rows = store(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_distinct, "doc_id long, toxic int, words array<string>"), "labelled")
     counted = rows.select("toxic", "words").mapInArrow(_featured, "feature string, toxic int")
-    totals = {int(r.toxic): r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    totals = {int(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return Model({}, float(np.log((n1 + 1) / (n0 + 1))))
@@ -125,7 +126,7 @@ def fit(labelled: DataFrame, penalty: float = 1.0, ridge: float = 2e-4, rounds:
 
 
 def docs_of(rows: DataFrame, index: dict[str, int]) -> list[tuple[int, list[int], list[int] | None]]:
-    """Of at most SAMPLE rows: the label, the features' places, and those of the counterfactual text."""
+    """The label, the features' places, and those of the counterfactual text."""
     places = rows.sparkSession.sparkContext.broadcast(index)
 
     def found(batches):
@@ -139,8 +140,8 @@ def docs_of(rows: DataFrame, index: dict[str, int]) -> list[tuple[int, list[int]
                 out.append((toxic, of(words), None if other is None else of(other), salt))
             yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 4, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()))], names=["toxic", "own", "other", "salt"])
 
-    sample = rows.mapInArrow(found, "toxic int, own array<int>, other array<int>, salt long").orderBy("salt", "toxic", "own").limit(SAMPLE)
-    return [(r.toxic, r.own, r.other) for r in sample.toLocalIterator()]
+    sample = rows.mapInArrow(found, "toxic int, own array<int>, other array<int>, salt long").collect()
+    return [(r.toxic, r.own, r.other) for r in sorted(sample, key=lambda r: (r.salt, r.toxic, r.own))]
 
 
 def _descend(sample, index, names, penalty, ridge, rounds) -> Model:
@@ -183,14 +184,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("text").alias("_text"), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(rows, f"{kinds}, _score double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
-    """docs with `_held_out` and `_score` by a model learned from the labelled rows that are not held out.
+def default_held_out(doc_id: Column) -> Column:
+    return remainder(doc_id, 4) == 2
 
-    Default held out: crc32(doc_id as text) mod 4 is 2. Labels, lang, source and doc_id are no inputs of a
-    score. Null doc_ids have no label; null labels are ignored; of several labels of a doc_id the largest counts.
+
+def judge(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column] = default_held_out) -> DataFrame:
+    """docs with `_held_out` and `_score`, by a model learned from labelled rows whose doc_id is not held out.
+
+    Learned from at most SAMPLE labels, those with the least digests of their ids; their texts are found by a
+    broadcast join of that bound, so that no text is shuffled. Default held out: crc32(doc_id as text) mod 4 is
+    2. Labels, lang, source and doc_id are no inputs of a score. Null doc_ids have no label; null labels are
+    ignored; of several labels of a doc_id the largest counts. Empty table: no rows. All columns stay.
     """
-    held = F.coalesce(held_out if held_out is not None else remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    marked = docs.withColumn("_held_out", held)
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = marked.where("not _held_out").select("doc_id", "text").join(known, "doc_id")
-    return score(marked, fit(labelled))
+    held = lambda c: F.coalesce(held_out(c), F.lit(False))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held(F.col("doc_id")))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(store(sample, "labels")), "doc_id")
+    return score(docs.withColumn("_held_out", held(F.col("doc_id"))), fit(labelled))
