@@ -137,26 +137,56 @@ _tokenizers: dict = {}
 
 
 class _Ids:
-    """Token ids of texts. No token reaches over ASCII white space, so that each distinct part is tokenised once."""
+    """Token ids of texts. No token reaches over ASCII white space, so that each distinct part is tokenised once.
 
-    def __init__(self, path: str, most: int = 400_000):
+    Parts are tokenised many at a time, with a special token between them. Two generations of known parts keep
+    the frequent ones and bound the memory.
+    """
+
+    BETWEEN = "<|startoftext|>"
+
+    def __init__(self, path: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
+        self.between = self.tokenizer.token_to_id(self.BETWEEN)
+
+    def learn(self, words: list[str], at_a_time: int = 400) -> None:
+        if self.between is None:
+            plain, rest = [], words
+        else:
+            rest = [w for w in words if "<|" in w]
+            plain = [w for w in words if "<|" not in w]
+        groups = [plain[i : i + at_a_time] for i in range(0, len(plain), at_a_time)]
+        encoded = self.tokenizer.encode_batch_fast([self.BETWEEN.join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.between).tolist()
+            for w, a, z in zip(group, [0, *(x + 1 for x in cut)], [*cut, len(ids)]):
+                self.new[w] = ids[a:z].tobytes()
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.new[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def known(self, words: list[str]) -> list[bytes]:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        missing = []
+        for w in words:
+            if w not in self.new:
+                if (ids := self.old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    self.new[w] = ids
+        self.learn(missing)
+        return list(map(self.new.__getitem__, words))
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many belong to each text."""
         lists = pc.ascii_split_whitespace(text)
         flat = lists.flatten().dictionary_encode()
-        words, at = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32)
-        parts = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        parts, at = self.known(flat.dictionary.to_pylist()), flat.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), np.uint32)
         begin = np.cumsum(sizes) - sizes
         n = sizes[at]
         ends = np.cumsum(n)
