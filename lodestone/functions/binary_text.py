@@ -9,8 +9,9 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SPAN = "array<struct<offset:bigint,len:bigint,encoding:string,text:string>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("len", T.LongType()), T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))
 #: Script ranges, and characters other than letters and digits that text may hold.
 SCRIPTS = (("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("east", 0x3040, 0x30FF), ("east", 0x3400, 0x9FFF), ("east", 0xAC00, 0xD7AF))
 MARKS = ((0xA0, 0xBF), (0x300, 0x36F), (0x2000, 0x200D), (0x2010, 0x2027), (0x202F, 0x203E), (0x20A0, 0x20CF), (0x3000, 0x303F), (0xFE00, 0xFE0F))
@@ -214,11 +215,11 @@ def spans_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda x: spans(bytes(x)) if x is not None else [])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def readable_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda x: readable(bytes(x)) if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def readable_hex_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda x: readable_hex(x) if x is not None else None)

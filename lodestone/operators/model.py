@@ -8,6 +8,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 #: Reserved columns: the dense 0-based source row, and the fields that the source row really had.
 ROW, FIELDS = "__row_id", "__fields"
 
@@ -69,11 +71,12 @@ def dense_ids(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """df with ROW: dense, 0-based, in the order of the columns given, or else of the frame's partitions.
 
     Counts per partition are the only thing that the driver sees. An ordered frame is dealt by ranges first, so
-    that no task holds more than its range.
+    that no task holds more than its range. The rows are written before they are counted: computed anew, the
+    ranges could differ.
     """
     if order:
         df = df.orderBy(*order)
-    df = df.withColumn("_at", F.monotonically_increasing_id())
+    df = stored(df.withColumn("_at", F.monotonically_increasing_id()), "rows")
     part = F.shiftright("_at", 33)
     sizes = sorted((r.p, r.n) for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     starts, total = {}, 0

@@ -64,7 +64,7 @@ def run(data: Dataset, query: Query, kinds: list[Kind] | None = None) -> View:
 
 def _ranked(keys: DataFrame, by: list) -> DataFrame:
     rows = keys.orderBy(*by).select(F.col(ROW).alias("_row"))
-    return dense_ids(rows).select(F.col("_row").alias(ROW), F.col(ROW).alias(POS)).persist()
+    return dense_ids(rows).select(F.col("_row").alias(ROW), F.col(ROW).alias(POS))
 
 
 def top(data: Dataset, query: Query, n: int, kinds: list[Kind] | None = None) -> DataFrame:

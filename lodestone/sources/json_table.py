@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Lexeme(str):
@@ -58,7 +59,7 @@ def documents(text: str, lines: bool = False):
             yield x
 
 
-@F.pandas_udf("array<struct<pointer:string,value:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pointer", T.StringType()), T.StructField("value", T.StringType())])))
 def flattened_udf(text: pd.Series) -> pd.Series:
     def one(t):
         return [] if t is None else [{"pointer": p, "value": v} for x in documents(t) for p, v in flatten(x)]

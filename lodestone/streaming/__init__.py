@@ -1,0 +1 @@
+"""The query language has no streaming operators; Column expressions of the other packages apply to streams as they are."""
