@@ -69,29 +69,39 @@ DATE_SHAPES = (
 )
 
 
-def _date_parts(v: Column, shape: str, fields: str) -> Column:
-    pattern = f"\\A{shape}\\z"
-    field = {f: F.regexp_extract(v, pattern, i + 1) for i, f in enumerate(fields)}
-    whole = lambda f: F.coalesce(F.nullif(field[f], F.lit("")).try_cast("int"), F.lit(0)) if f in field else F.lit(0)
-    month = field["m"] if "m" in field else ((F.position(field["b"], F.lit(_MONTHS)) + 3) / 4).cast("int").cast("string")
-    day = F.try_to_date(F.concat_ws("-", field["y"], F.lpad(month, 2, "0"), F.lpad(field["d"], 2, "0")), "yyyy-MM-dd")
-    seconds = whole("H") * 3600 + whole("M") * 60 + whole("S")
-    offset = F.lit(0)
-    if "z" in field:
-        z = field["z"]
-        minutes = F.substring(z, 2, 2).try_cast("int") * 60 + F.substring(z, -2, 2).try_cast("int")
-        offset = F.when(z.rlike(r"\A[+-]"), F.when(F.startswith(z, F.lit("-")), -minutes).otherwise(minutes) * 60).otherwise(0)
-    nano = F.rpad(F.substring(field["f"], 2, 9), 9, "0").try_cast("int") if "f" in field else F.lit(0)
-    in_range = (whole("H") < 24) & (whole("M") < 60) & (whole("S") < 60)
-    second = F.unix_date(day).cast("bigint") * 86400 + seconds - offset
-    return F.when(v.rlike(pattern) & in_range & second.isNotNull(), F.struct(second.alias("second"), F.coalesce(nano, F.lit(0)).alias("nano")))
+_FIELDS = "ymdHMSfz"
+
+
+def _spread(v: Column) -> Column:
+    """The fields of the first shape that fits, in the order of _FIELDS, with bars between; null if none does."""
+    found = F.lit(None).cast("string")
+    for shape, fields in reversed(DATE_SHAPES):
+        named = fields.replace("b", "m")
+        parts = "|".join(f"${named.index(f) + 1}" if f in named else "" for f in _FIELDS)
+        found = F.when(v.rlike(f"\\A{shape}\\z"), F.regexp_replace(v, f"\\A{shape}\\z", parts)).otherwise(found)
+    return found
+
+
+def _instant(parts: Column) -> Column:
+    part = dict(zip(_FIELDS, (F.get(parts, F.lit(i)) for i in range(len(_FIELDS)))))
+    whole = lambda f: F.coalesce(F.nullif(part[f], F.lit("")).try_cast("int"), F.lit(0))
+    month = F.when(part["m"].rlike("^[A-Z]"), ((F.position(part["m"], F.lit(_MONTHS)) + 3) / 4).cast("int").cast("string")).otherwise(part["m"])
+    day = F.try_to_date(F.concat_ws("-", part["y"], F.lpad(month, 2, "0"), F.lpad(part["d"], 2, "0")), "yyyy-MM-dd")
+    z = part["z"]
+    minutes = F.substring(z, 2, 2).try_cast("int") * 60 + F.substring(z, -2, 2).try_cast("int")
+    offset = F.when(z.rlike(r"\A[+-]"), F.when(F.startswith(z, F.lit("-")), -minutes).otherwise(minutes) * 60).otherwise(0)
+    nano = F.coalesce(F.rpad(F.substring(part["f"], 2, 9), 9, "0").try_cast("int"), F.lit(0))
+    second = F.unix_date(day).cast("bigint") * 86400 + whole("H") * 3600 + whole("M") * 60 + whole("S") - offset
+    valid = (whole("H") < 24) & (whole("M") < 60) & (whole("S") < 60) & second.isNotNull()
+    return F.when(valid, F.struct(second.alias("second"), nano.alias("nano")))
 
 
 def date(c: Column) -> Column:
     """struct(second, nano) since 1970 in UTC, or null. Day before month where ambiguous; no zone means UTC."""
     v = F.regexp_replace(trimmed(c), r" (?:UTC|GMT)\z", "")
-    found = F.coalesce(*(_date_parts(v, shape, fields) for shape, fields in DATE_SHAPES))
-    return F.when(F.octet_length(v).between(8, 80), found)
+    spread = F.when(F.octet_length(v).between(8, 80), _spread(v))
+    # within the lambda the fields are taken apart once
+    return F.get(F.transform(F.array(F.split(spread, r"\|")), _instant), F.lit(0))
 
 
 def timestamp(c: Column) -> Column:

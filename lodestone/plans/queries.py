@@ -291,7 +291,7 @@ def bin_04_readable(spark, d):
     return _table(spark, d, "customer").select("c_custkey", readable_udf(data).alias("text"))
 
 
-@query("select l_orderkey, l_linenumber, array_to_string(list_filter([case when l_orderkey & 1 <> 0 then 'DATA_OVERWRITE' end, case when l_orderkey & 2 <> 0 then 'DATA_EXTEND' end, case when l_orderkey & 4 <> 0 then 'DATA_TRUNCATION' end, case when l_orderkey & 256 <> 0 then 'FILE_CREATE' end, case when l_orderkey & 512 <> 0 then 'FILE_DELETE' end, case when l_orderkey & 4096 <> 0 then 'RENAME_OLD_NAME' end, case when l_orderkey & 8192 <> 0 then 'RENAME_NEW_NAME' end, case when l_orderkey & 32768 <> 0 then 'BASIC_INFO_CHANGE' end, case when l_orderkey & 65536 <> 0 then 'HARD_LINK_CHANGE' end], x -> x is not null), ' | ') as names from lineitem")
+@query("select l_orderkey, l_linenumber, array_to_string(list_filter([case when l_orderkey & 1 <> 0 then 'DATA_OVERWRITE' end, case when l_orderkey & 2 <> 0 then 'DATA_EXTEND' end, case when l_orderkey & 4 <> 0 then 'DATA_TRUNCATION' end, case when l_orderkey & 256 <> 0 then 'FILE_CREATE' end, case when l_orderkey & 512 <> 0 then 'FILE_DELETE' end, case when l_orderkey & 4096 <> 0 then 'RENAME_OLD_NAME' end, case when l_orderkey & 8192 <> 0 then 'RENAME_NEW_NAME' end, case when l_orderkey & 32768 <> 0 then 'BASIC_INFO_CHANGE' end, case when l_orderkey & 65536 <> 0 then 'HARD_LINK_CHANGE' end], lambda x: x is not null), ' | ') as names from lineitem")
 def bin_06_flags(spark, d):
     return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.flag_names(F.col("l_orderkey").cast("long")).alias("names"))
 
