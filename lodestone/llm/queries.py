@@ -52,7 +52,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = (F.length("text") - F.length("_kept")).cast("long").alias("n_removed")
-    return found.select("doc_id", n_removed, F.col("_spans").alias("spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", n_removed, F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
