@@ -15,34 +15,53 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"\\A[{SPACE}]+|[{SPACE}]+\\z", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _number_text(c: Column) -> Column:
-    clean = F.translate(trimmed(c), " \u00a0\u202f", "")
-    return F.when(F.contains(clean, F.lit(",")) & ~F.contains(clean, F.lit(".")), F.translate(clean, ",", ".")).otherwise(clean)
+    plain = F.translate(trimmed(c), " \u00a0\u202f", "")
+    return let(plain, lambda t: F.when(F.contains(t, F.lit(",")) & ~F.contains(t, F.lit(".")), F.translate(t, ",", ".")).otherwise(t))
 
 
 _NUMBER = r"\A([+-]?)(?:([0-9]+)\.?([0-9]*)|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?\z"
 
 
+def _finite(t: Column) -> Column:
+    return let(F.when(t.rlike(_NUMBER), t.try_cast("double")), lambda x: F.when(F.abs(x) < float("inf"), x))
+
+
 def number(c: Column) -> Column:
     """Double, or null: spaces of any kind are left out, a comma is a decimal point where no point is; finite only."""
-    clean = _number_text(c)
-    value = F.when(clean.rlike(_NUMBER), clean.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
-
-
-def number_key(c: Column) -> list[Column]:
-    """Three columns that order numbers by their exact decimal digits, whatever their length; valid where number() is."""
-    clean = _number_text(c)
-    part = lambda i: F.regexp_extract(clean, _NUMBER, i)
-    whole, fraction = part(2), F.concat(part(3), part(4))
-    digits = F.ltrim(F.concat(whole, fraction), F.lit("0"))
-    exponent = F.coalesce(F.nullif(part(5), F.lit("")).try_cast("bigint"), F.lit(0))
-    order = F.length(digits) - F.length(fraction) + exponent
-    digits = F.rtrim(digits, F.lit("0"))
-    sign = F.when(digits == "", 0).when(part(1) == "-", -1).otherwise(1)
-    # the digits of negative numbers order the other way round, a shorter one after a longer
-    tail = F.when(sign < 0, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))).otherwise(digits)
-    return [sign.cast("int"), (F.when(sign == 0, F.lit(0)).otherwise(order) * sign).cast("bigint"), tail]
+    return let(_number_text(c), _finite)
+
+
+def _decimal_key(parts: Column) -> Column:
+    """parts: sign, whole digits, fraction, exponent."""
+    digits = F.ltrim(F.concat(parts[1], parts[2]), F.lit("0"))
+    exponent = F.coalesce(F.nullif(parts[3], F.lit("")).try_cast("bigint"), F.lit(0))
+
+    def key(d: Column) -> Column:
+        zero, negative = d == "", parts[0] == "-"
+        order = F.length(d) - F.length(parts[2]) + exponent
+        shown = F.rtrim(d, F.lit("0"))
+        sign = F.when(zero, 0).when(negative, -1).otherwise(1)
+        # the digits of negative numbers order the other way round, a shorter one after a longer
+        tail = F.when(negative & ~zero, F.concat(F.translate(shown, "0123456789", "9876543210"), F.lit("~"))).otherwise(shown)
+        return F.struct(sign.cast("int").alias("sign"), (F.when(zero, F.lit(0)).otherwise(order) * sign).cast("bigint").alias("order"), tail.alias("digits"))
+
+    return let(digits, key)
+
+
+def number_key(c: Column) -> Column:
+    """struct(sign, order, digits) that orders numbers by their exact decimal digits, whatever their length; null where number() is."""
+
+    def key(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, _NUMBER, "$1|$2|$3$4|$5"), r"\|")
+        return F.when(_finite(t).isNotNull(), let(parts, _decimal_key))
+
+    return let(_number_text(c), key)
 
 
 _MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"
@@ -98,24 +117,28 @@ def _instant(parts: Column) -> Column:
 
 def date(c: Column) -> Column:
     """struct(second, nano) since 1970 in UTC, or null. Day before month where ambiguous; no zone means UTC."""
-    v = F.regexp_replace(trimmed(c), r" (?:UTC|GMT)\z", "")
-    spread = F.when(F.octet_length(v).between(8, 80), _spread(v))
-    # within the lambda the fields are taken apart once
-    return F.get(F.transform(F.array(F.split(spread, r"\|")), _instant), F.lit(0))
+    bare = F.regexp_replace(trimmed(c), r" (?:UTC|GMT)\z", "")
+    spread = let(bare, lambda v: F.when(F.octet_length(v).between(8, 80), _spread(v)))
+    return let(F.split(spread, r"\|"), _instant)
 
 
-def timestamp(c: Column) -> Column:
-    """As date(), or whole numbers since 1970: up to 10 digits are seconds, 13 milli-, 16 micro-, 19 nanoseconds."""
-    v = trimmed(c)
+def _epoch(v: Column) -> Column:
     n = F.when(v.rlike(r"\A[+-]?[0-9]+\z"), v.try_cast("decimal(38,0)"))
     size = F.length(F.regexp_replace(v, r"\A-+", ""))
-    nanos = F.when(size.between(1, 10), n * F.lit(10**9).cast("decimal(20,0)"))
-    for digits, factor in ((13, 10**6), (16, 10**3), (19, 1)):
-        nanos = F.when(size == digits, n * F.lit(factor).cast("decimal(20,0)")).otherwise(nanos)
-    # floor division, so that the nanoseconds are never negative
-    second = F.floor(nanos / F.lit(10**9).cast("decimal(20,0)")).cast("bigint")
-    nano = (nanos - second.cast("decimal(20,0)") * F.lit(10**9).cast("decimal(20,0)")).cast("int")
-    return F.coalesce(date(c), F.when(nanos.isNotNull(), F.struct(second.alias("second"), nano.alias("nano"))))
+    factor = F.when(size.between(1, 10), 10**9).when(size == 13, 10**6).when(size == 16, 10**3).when(size == 19, 1).cast("decimal(10,0)")
+    billion = F.lit(10**9).cast("decimal(10,0)")
+
+    def parts(nanos: Column) -> Column:
+        # floor division, so that the nanoseconds are never negative
+        second = F.floor(nanos / billion).cast("bigint")
+        return F.when(nanos.isNotNull(), F.struct(second.alias("second"), (nanos - second.cast("decimal(20,0)") * billion).cast("int").alias("nano")))
+
+    return let((n.cast("decimal(20,0)") * factor).cast("decimal(30,0)"), parts)
+
+
+def timestamp(c: Column) -> Column:
+    """As date(), or whole numbers since 1970: up to 10 digits are seconds, 13 milli-, 16 micro-, 19 nanoseconds."""
+    return F.coalesce(date(c), let(trimmed(c), _epoch))
 
 
 def filetime(ticks: Column) -> Column:

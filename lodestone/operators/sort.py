@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -30,26 +30,32 @@ def infer(data: Dataset, rows: int | None = None) -> list[Kind]:
     return kinds
 
 
-def order(v: Column, kind: Kind, descending: bool = False) -> list[Column]:
-    """Sort columns: valid values, then other text, then blanks, whichever direction; within each by direction."""
+Key = tuple[Column, str]
+
+
+def order(v: Column, kind: Kind, descending: bool = False) -> list[Key]:
+    """Sort keys, each with the name of its direction: valid values, then other text, then blanks, whichever direction; within each by direction."""
     blank = scalars.trimmed(v) == ""
-    text = scalars.text_key(v)
     if kind == Kind.TEXT:
-        valid, keys = F.lit(True), []
-    elif kind == Kind.NUMBER:
-        valid, keys = scalars.number(v).isNotNull(), scalars.number_key(v)
+        bucket, keys = F.when(blank, 2).otherwise(0), [scalars.text_key(v)]
     else:
-        instant = scalars.date(v) if kind == Kind.DATE else scalars.timestamp(v)
-        valid, keys = instant.isNotNull(), [instant["second"], instant["nano"]]
-    bucket = F.when(blank, 2).when(valid, 0).otherwise(1)
-    keys = [F.when(bucket == 0, k) for k in keys]
-    text = text if kind == Kind.TEXT else F.when(bucket == 1, text)
-    turn = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_first())
-    return [bucket.asc(), *(turn(k) for k in [*keys, text])]
+        whole = {Kind.NUMBER: scalars.number_key, Kind.DATE: scalars.date, Kind.TIMESTAMP: scalars.timestamp}[kind](v)
+        parts = ("sign", "order", "digits") if kind == Kind.NUMBER else ("second", "nano")
+        bucket = F.when(blank, 2).when(whole.isNotNull(), 0).otherwise(1)
+        keys = [*(whole[x] for x in parts), F.when(whole.isNull(), scalars.text_key(v))]
+    turn = "desc_nulls_last" if descending else "asc_nulls_first"
+    return [(bucket, "asc"), *((k, turn) for k in keys)]
+
+
+def arranged(df: DataFrame, by: list[Key | Column]) -> DataFrame:
+    """df in the order of the keys, which are computed once a row; a sort by expressions computes them at each comparison."""
+    by = [k if isinstance(k, tuple) else (k, "asc") for k in by]
+    keyed = df.select("*", *(k.alias(f"_order{i}") for i, (k, _) in enumerate(by)))
+    return keyed.orderBy(*(getattr(F.col(f"_order{i}"), turn)() for i, (_, turn) in enumerate(by))).drop(*(f"_order{i}" for i in range(len(by))))
 
 
-def ordered(data: Dataset, sort: Sort, kinds: list[Kind] | None = None) -> list[Column]:
+def ordered(data: Dataset, sort: Sort, kinds: list[Kind] | None = None) -> list[Key]:
     if not 0 <= sort.column < len(data.headers):
         raise ValueError(f"no column {sort.column}")
     kind = sort.kind or (kinds or infer(data))[sort.column]
-    return [*order(data.cells()[sort.column], kind, sort.descending), F.col(ROW).asc()]
+    return [*order(data.cells()[sort.column], kind, sort.descending), (F.col(ROW), "asc")]

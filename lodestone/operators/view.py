@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import preview
 from .model import ROW, Dataset, Kind, Query, dense_ids
 from .search import filters, search
-from .sort import ordered
+from .sort import arranged, ordered
 
 POS = "__pos"
 VIEW_ROWS, VIEW_COLUMNS, VIEW_CHARS = 256, 128, 512
@@ -57,20 +57,20 @@ def run(data: Dataset, query: Query, kinds: list[Kind] | None = None) -> View:
     if not query.text and not query.filters and query.sort is None:
         return View(data, None, kinds)
     found = matching(data, query)
-    by = ordered(data, query.sort, kinds) if query.sort else [F.col(ROW).asc()]
+    by = ordered(data, query.sort, kinds) if query.sort else [(F.col(ROW), "asc")]
     keys = found.select(ROW, *(f"c{i}" for i in ([query.sort.column] if query.sort else [])))
     return View(data, _ranked(keys, by), kinds)
 
 
 def _ranked(keys: DataFrame, by: list) -> DataFrame:
-    rows = keys.orderBy(*by).select(F.col(ROW).alias("_row"))
+    rows = arranged(keys, by).select(F.col(ROW).alias("_row"))
     return dense_ids(rows).select(F.col("_row").alias(ROW), F.col(ROW).alias(POS))
 
 
 def top(data: Dataset, query: Query, n: int, kinds: list[Kind] | None = None) -> DataFrame:
     """The first n rows of a sorted view without ranking the rest."""
-    by = ordered(data, query.sort, kinds) if query.sort else [F.col(ROW).asc()]
-    return matching(data, query).orderBy(*by).limit(n)
+    by = ordered(data, query.sort, kinds) if query.sort else [(F.col(ROW), "asc")]
+    return arranged(matching(data, query), by).limit(n)
 
 
 def viewport(view: View, start: int, n: int, columns: list[int]) -> list[dict]:

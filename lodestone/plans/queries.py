@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import occurrences, view
 from ..operators.model import ROW, Filter, Kind, Query, Sort, from_frame
 from ..operators.search import predicate
-from ..operators.sort import infer, order
+from ..operators.sort import arranged, infer, order
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def _ranked(df: DataFrame, by: list, out: list) -> DataFrame:
     """out and pos, the 0-based rank in the order given. Ranks come from range partitions, not from one task."""
     from ..operators.model import dense_ids
 
-    rows = dense_ids(df.orderBy(*by).select(*out))
+    rows = dense_ids(arranged(df, by).select(*out))
     return rows.withColumnRenamed(ROW, "pos")
 
 

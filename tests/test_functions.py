@@ -9,7 +9,7 @@ from lodestone.functions import binary_text, regexes, scalars
 from lodestone.operators import occurrences
 from lodestone.operators.model import Kind, Query, from_frame
 from lodestone.operators.search import QueryError, parsed
-from lodestone.operators.sort import order
+from lodestone.operators.sort import arranged, order
 from lodestone.operators.view import matching
 
 
@@ -28,7 +28,7 @@ def test_number_order_is_exact(spark):
     values = ["9007199254740993", "9007199254740992", "1.20001", "1.2", "-0.002", "-10", "1.2e1", "0", "-0", "00012", "12.0"]
     values += [f"{rng.choice(['', '-'])}{rng.randrange(10**rng.randint(1, 25))}e{rng.randint(-30, 30)}" for _ in range(200)]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    got = [r.i for r in rows.orderBy(*order(F.col("v"), Kind.NUMBER), "i").collect()]
+    got = [r.i for r in arranged(rows, [*order(F.col("v"), Kind.NUMBER), F.col("i")]).collect()]
     assert got == sorted(range(len(values)), key=lambda i: (decimal.Decimal(values[i]), i))
 
 
@@ -63,12 +63,12 @@ def natural(a, b):
 def test_text_order(spark):
     values = ["Яна", "Ёж", "Егор", "Аня", "борис", "файл10", "файл2", "еж"]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    assert [r.i for r in rows.orderBy(*order(F.col("v"), Kind.TEXT), "i").collect()] == [3, 4, 2, 7, 1, 6, 5, 0]
+    assert [r.i for r in arranged(rows, [*order(F.col("v"), Kind.TEXT), F.col("i")]).collect()] == [3, 4, 2, 7, 1, 6, 5, 0]
     rng = random.Random(2)
     values = ["".join(rng.choices("aЕё10 2b🙂", k=rng.randint(1, 6))) for _ in range(300)]
     values = [v for v in values if v.strip()]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    got = [values[r.i] for r in rows.orderBy(*order(F.col("v"), Kind.TEXT), "i").collect()]
+    got = [values[r.i] for r in arranged(rows, [*order(F.col("v"), Kind.TEXT), F.col("i")]).collect()]
     want = sorted(values, key=cmp_to_key(natural))
     assert [(a, b) for a, b in zip(got, want) if natural(a, b)] == []
 
