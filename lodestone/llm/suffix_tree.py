@@ -33,7 +33,7 @@ DEPTH, LEAST, DIVERGENCE = 3, 1e-4, 0.01
 #: A context's successors with fewer than least/RARE of all tokens are left to its parent.
 RARE = 100
 #: Bytes of text that are tokenised, and scored, at a time.
-BUCKET = 16e6
+BUCKET = 6e6
 START, END = 0, 1
 BASE = 0xD1342543DE82EF95
 
