@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import store
+from ._common import NO_ID, store
 from .components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -87,14 +87,14 @@ def fingerprint(raw: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (long) per row. Null texts count as empty."""
+    """doc_id, key (a digest of the text), fp (long) per row. Null texts count as empty."""
 
     def rows(batches):
         for b in batches:
-            fps = [fingerprint(x, size) for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(x, size) for x in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("binary")).mapInArrow(rows, "doc_id long, key long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -122,6 +122,17 @@ def links(fps: DataFrame) -> DataFrame:
     return large.join(small, "key").where(near).select("u", "v")
 
 
+def grouped(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, key, fp, root (a fingerprint that names the component), component_id per row."""
+    own = store(fingerprints(docs, size), "fingerprints")
+    nodes = store(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.select("fp", "root").join(least, "root")
+    return own.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links of fingerprints).
 
@@ -130,21 +141,15 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     never becomes a component_id unless its component has no other. Empty table: no rows. Other columns are
     not read.
     """
-    own = store(fingerprints(docs, size), "fingerprints")
-    nodes = store(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, size).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, null ids last.
 
-    Rows that share that doc_id are told apart by their text's digest, and of equal rows one stays.
+    Rows that share that doc_id rank by their text's digest, and of equal rows one stays. All columns stay.
     """
-    found = near_duplicates(docs, size).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    some = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return some.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("key").alias("_key"))).alias("first")
+    kept = grouped(docs, size).groupBy("root").agg(first).select("first.*")
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": F.xxhash64("text")})
+    return keyed.join(kept, ["_d", "_key"], "left_semi").dropDuplicates(["_d", "_key"]).drop("_d", "_key")
