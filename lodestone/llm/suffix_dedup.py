@@ -113,22 +113,25 @@ def _pieces(batches, width: int) -> Iterator[tuple[list, list, list, list]]:
         yield ids, tags, starts, bodies
 
 
-def _firsts(h, digest, d, place) -> np.ndarray:
-    """Mask of the earliest row of each (h, digest); ties are equal rows, of which one is taken. place: start, tag, and more."""
+def _firsts(h, digest, d, place) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the earliest row of each (h, digest), and of the later ones; what equals the earliest is in neither."""
     both = _mix(h ^ digest * U(0x2545F4914F6CDD1D))
     order = np.argsort(both, kind="stable")
     same = both[order][1:] == both[order][:-1]
-    first = np.ones(len(h), bool)
+    first, later = np.ones(len(h), bool), np.zeros(len(h), bool)
     member = np.zeros(len(h), bool)
     member[1:] |= same
     member[:-1] |= same
     rows = order[member]
     if len(rows):
         start, tag = place[rows] >> 32, place[rows] >> 16 & 0xFFFF
-        rows = rows[np.lexsort((start, tag, d[rows], both[rows]))]
-        later = np.concatenate(([False], both[rows][1:] == both[rows][:-1]))
-        first[rows[later]] = False
-    return first
+        by = np.lexsort((start, tag, d[rows], both[rows]))
+        rows, start, tag = rows[by], start[by], tag[by]
+        new = np.concatenate(([True], both[rows][1:] != both[rows][:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        first[rows[~new]] = False
+        later[rows[(d[rows] != d[rows][head]) | (tag != tag[head]) | (start != start[head])]] = True
+    return first, later
 
 
 SCHEMA = "h long, digest long, d long, place long"
@@ -139,7 +142,9 @@ def _scan(width: int, gram: int):
 
     def flush(parts):
         h, digest, d, place = (np.concatenate(x) for x in zip(*parts))
-        first = _firsts(h, digest, d, place)
+        first, later = _firsts(h, digest, d, place)
+        kept = first | later
+        h, digest, d, place, first = h[kept], digest[kept], d[kept], place[kept], first[kept]
         # what is known already needs no meeting place, and is dealt evenly
         h = np.where(first, h, _mix(place.view(np.uint64) ^ d.view(np.uint64) * U(0xD6E8FEB86659FD93)))
         place = np.where(first, place, place | KNOWN)
@@ -186,8 +191,8 @@ def _sort_out(batches):
     member[:-1] |= same
     rows = order[member]
     h, digest, d, place = h[rows], digest[rows], d[rows], place[rows]
-    first = _firsts(h, digest, d, place)
-    yield from _placed(h[~first], d[~first], place[~first], True)
+    first, later = _firsts(h, digest, d, place)
+    yield from _placed(h[later], d[later], place[later], True)
     h, d, place = h[first], d[first], place[first]
     if len(h):
         same = h[1:] == h[:-1]
