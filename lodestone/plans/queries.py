@@ -287,7 +287,7 @@ def bin_03_readable_hex(spark, d):
 def bin_04_readable(spark, d):
     from ..functions.binary_text import readable_udf
 
-    data = F.concat(F.col("c_name").cast("binary"), F.unhex(F.lit("00FF01")), F.encode("c_mktsegment", "UTF-16LE"), F.unhex(F.lit("0000")))
+    data = F.concat(F.col("c_name").cast("binary"), F.unhex(F.lit("00000000")), F.encode("c_mktsegment", "UTF-16LE"), F.unhex(F.lit("0000")))
     return _table(spark, d, "customer").select("c_custkey", readable_udf(data).alias("text"))
 
 
