@@ -53,3 +53,22 @@ def ascii_lower(text: Column) -> Column:
 def at_least(spark: SparkSession, n: float) -> int:
     """Partitions for n portions of work, and as many as the session shuffles into."""
     return max(int(n) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_held: dict = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps from task to task, for one operator at a time."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Frees what another operator's tasks have kept in this worker."""
+    import pyarrow as pa
+
+    _held.clear()
+    pa.default_memory_pool().release_unused()

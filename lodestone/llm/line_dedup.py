@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID
+from ._common import NO_ID, release
 
 #: Shorter units repeat by chance.
 MIN_WORDS = 4
@@ -42,6 +42,7 @@ def digest(unit: str, min_words: int = MIN_WORDS) -> bytes | None:
 
 def _digests(by: str, min_words: int):
     def rows(batches):
+        release()
         for b in batches:
             ids, tags, places, found = [], [], [], []
             for d, tag, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -59,6 +60,7 @@ def _cut(by: str):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batches):
+        release()
         for b in batches:
             kept, spans = [], []
             for text, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import store, text_bytes
+from ._common import held, store, text_bytes
 
 CAPACITY = 4096
 #: Pieces of one length and salt that are ranked together.
@@ -133,9 +133,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return out
 
 
-_tokenizers: dict = {}
-
-
 class _Ids:
     """Token ids of texts. No token reaches over ASCII white space, so that each distinct part is tokenised once.
 
@@ -202,7 +199,7 @@ class _Ids:
 def _pieces(path: str, end: int, capacity: int, rows_at_a_time: int = 1500):
     def rows(batches):
         # a worker keeps its tokenizer from task to task
-        ids_of = _tokenizers.get(path) or _tokenizers.setdefault(path, _Ids(path))
+        ids_of = held(path, lambda: _Ids(path))
         for b in batches:
             for i in range(0, b.num_rows, rows_at_a_time):
                 part = b.slice(i, rows_at_a_time)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, store
+from ._common import NO_ID, release, store
 from .components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, key (a digest of the text), fp (long) per row. Null texts count as empty."""
 
     def rows(batches):
+        release()
         for b in batches:
             fps = [fingerprint(x, size) for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import remainder, store
+from ._common import release, remainder, store
 
 #: Groups of terms that may be exchanged for one another.
 IDENTITY_GROUPS = (
@@ -86,6 +86,7 @@ class Model:
 
 
 def _distinct(batches):
+    release()
     for b in batches:
         lists = words_of(b.column(1))
         kept = [sorted(set(x)) for x in lists.to_pylist()]
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
+        release()
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
