@@ -142,7 +142,7 @@ class _Ids:
 
     BETWEEN = "<|startoftext|>"
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
@@ -155,9 +155,9 @@ class _Ids:
             rest = [w for w in words if "<|" in w]
             plain = [w for w in words if "<|" not in w]
         groups = [plain[i : i + at_a_time] for i in range(0, len(plain), at_a_time)]
-        encoded = self.tokenizer.encode_batch_fast([self.BETWEEN.join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded):
-            ids = np.array(e.ids, np.uint32)
+        for group in groups:
+            # one at a time: what the library returns is many times the size of the ids
+            ids = np.array(self.tokenizer.encode_batch_fast([self.BETWEEN.join(group)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.between).tolist()
             for w, a, z in zip(group, [0, *(x + 1 for x in cut)], [*cut, len(ids)]):
                 self.new[w] = ids[a:z].tobytes()
@@ -196,7 +196,7 @@ class _Ids:
         return ids, np.diff(total)
 
 
-def _pieces(path: str, end: int, capacity: int, rows_at_a_time: int = 1500):
+def _pieces(path: str, end: int, capacity: int, rows_at_a_time: int = 1000):
     def rows(batches):
         # a worker keeps its tokenizer from task to task
         ids_of = held(path, lambda: _Ids(path))
