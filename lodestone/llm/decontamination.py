@@ -2,7 +2,8 @@
 
 Texts are compared as words (runs of letters and digits, lower case) by their five-word shingles. A document's
 windows that can be similar to an item share a shingle with it, so that windows are placed where one of the
-item's shingles occurs, aligned with its place in the item. A window's SimHash fingerprint is compared with
+item's shingles occurs, aligned with its place in the item; where the aligned window would reach over an end of
+the document, as with an item clipped there, the window at that end is taken. A window's SimHash fingerprint is compared with
 those of the items of its size by multi-index blocks: two fingerprints at most RADIUS bits apart agree in at
 least one of RADIUS + 1 blocks, so equality on a block finds all of them. What lies within the radius is then
 verified exactly: the shingles, weighted by how often they occur, must have a Jaccard similarity of at least
@@ -56,13 +57,13 @@ def _exploded(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(value.alias("x")))).alias("_one")).withColumn(name, F.col("_one.x")).drop("_one")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, whole: bool = False) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, key, item_id, similarity, start_word.
 
     start_word is the first word of the most similar window, from 0. Null and empty texts, and items of fewer
     than five words, match nothing. Repeated items are items of their own; key (a digest of the text) tells rows
-    apart that share a doc_id or have none, and equal rows count as one. Empty tables: no rows. Other columns
-    are not read.
+    apart that share a doc_id or have none, and equal rows count as one. An item longer than the document is
+    compared with all of it if whole, else not at all. Empty tables: no rows. Other columns are not read.
     """
     items = _exploded(benchmark.select("item_id", words(F.col("text")).alias("w")), "hashes", shingles(F.col("w"))).where("size(hashes) > 0")
     items = _exploded(items.select("item_id", "hashes"), "fp", fingerprint(F.col("hashes"))).withColumn("n", F.size("hashes"))
@@ -76,13 +77,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY)
     key = F.xxhash64("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text"))
     hashed = _exploded(_exploded(own, "w", words(F.col("text"))).select("doc_id", "key", "w"), "hashes", shingles(F.col("w"))).select("doc_id", "key", "hashes")
-    hits = hashed.select("doc_id", "key", F.posexplode("hashes").alias("p", "h")).join(small(of_items), "h")
-    hits = hits.where("p >= at").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "key").agg(F.collect_set(F.struct((F.col("p") - F.col("at")).alias("start"), "n")).alias("places"))
+    hits = hashed.select("doc_id", "key", F.size("hashes").alias("m"), F.posexplode("hashes").alias("p", "h")).join(small(of_items), "h")
+    fits = F.col("n") <= F.col("m")
+    start = F.greatest(F.least(F.col("p") - F.col("at"), F.col("m") - F.col("n")), F.lit(0))
+    hits = hits.where(fits | (F.col("m") >= threshold * F.col("n")) if whole else fits)
+    hits = hits.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "key").agg(F.collect_set(F.struct(start.alias("start"), "n")).alias("places"))
     hits = store(hits, "hits")
     few = hits.count() <= BROADCAST_DOCUMENTS
     found = own.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).join(F.broadcast(hits) if few else hits, ["d", "key"])
     found = _exploded(_exploded(found.dropDuplicates(["d", "key"]), "w", words(F.col("text"))).select("doc_id", "key", "w", "places"), "hashes", shingles(F.col("w")))
-    windows = found.select("doc_id", "key", F.explode(F.transform(F.filter("places", lambda x: x["start"] + x["n"] <= F.size("hashes")), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("hashes", x["start"] + 1, x["n"]).alias("window")))).alias("x")).select("doc_id", "key", "x.*")
+    windows = found.select("doc_id", "key", F.explode(F.transform("places", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("hashes", x["start"] + 1, x["n"]).alias("window")))).alias("x")).select("doc_id", "key", "x.*")
     windows = store(_exploded(windows, "fp", fingerprint(F.col("window"))), "windows")
     filed = items.select("item_id", "hashes", F.col("n"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("b"))
     near = windows.withColumn("b", F.explode(blocks(F.col("fp")))).join(small(filed), ["n", "b"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
@@ -97,7 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item. All columns stay."""
-    found = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("key").alias("_key")).distinct()
+    """docs without those that hold a benchmark item, or are most of one. All columns stay."""
+    found = leaks(docs, benchmark, whole=True).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("key").alias("_key")).distinct()
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["_d"]) & (F.xxhash64(docs["text"]) == found["_key"])
     return docs.join(found, match, "left_anti")

@@ -55,3 +55,23 @@ def test_items_longer_than_documents_and_blocks(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(vocabulary(50, 1)))], "item_id long, text string")
     assert op.leaks(docs([(1, " ".join(vocabulary(49, 1)))]), bench).count() == 0
     assert sum(n for _, n in op.BLOCKS) == 64 and len(op.BLOCKS) == op.RADIUS + 1
+
+
+def test_items_clipped_at_a_document_s_ends(spark, docs):
+    item, own = vocabulary(40, 1), vocabulary(60, 2)
+    texts = [item[2:] + own, own + item[:-2], item[12:] + own, own + item[:-12], item[1:] + own[:1], own[:1] + item[:-1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = op.leaks(docs(rows), bench).collect()
+    want = brute(rows, [(7, " ".join(item))])
+    assert {(r.doc_id, r.item_id) for r in found} == want == {(0, 7), (1, 7), (4, 7), (5, 7)}
+    assert {r.doc_id: r.start_word for r in found} == {0: 0, 1: 58, 4: 0, 5: 0}
+    assert sorted(r.doc_id for r in op.decontaminate(docs(rows), bench).collect()) == [2, 3]
+
+
+def test_documents_that_are_most_of_an_item_go(spark, docs):
+    item = vocabulary(40, 1)
+    rows = [(1, " ".join(item[2:])), (2, " ".join(item[:-2])), (3, " ".join(item[1:-1])), (4, " ".join(item[9:])), (5, " ".join(item[7:]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    # 36 shingles, of which the documents have 34, 34, 34, 27 and 29
+    assert [r.doc_id for r in op.decontaminate(docs(rows), bench).collect()] == [4]
