@@ -113,7 +113,7 @@ def _pieces(batches, width: int) -> Iterator[tuple[list, list, list, list]]:
         yield ids, tags, starts, bodies
 
 
-def _firsts(h, digest, d, place) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(h, digest, d, tag, place) -> tuple[np.ndarray, np.ndarray]:
     """Masks of the earliest row of each (h, digest), and of the later ones; what equals the earliest is in neither."""
     both = _mix(h ^ digest * U(0x2545F4914F6CDD1D))
     order = np.argsort(both, kind="stable")
@@ -124,32 +124,32 @@ def _firsts(h, digest, d, place) -> tuple[np.ndarray, np.ndarray]:
     member[:-1] |= same
     rows = order[member]
     if len(rows):
-        start, tag = place[rows] >> 32, place[rows] >> 16 & 0xFFFF
-        by = np.lexsort((start, tag, d[rows], both[rows]))
-        rows, start, tag = rows[by], start[by], tag[by]
+        start = place[rows] >> 32
+        by = np.lexsort((start, tag[rows], d[rows], both[rows]))
+        rows, start = rows[by], start[by]
         new = np.concatenate(([True], both[rows][1:] != both[rows][:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
         first[rows[~new]] = False
-        later[rows[(d[rows] != d[rows][head]) | (tag != tag[head]) | (start != start[head])]] = True
+        later[rows[(d[rows] != d[rows][head]) | (tag[rows] != tag[rows][head]) | (start != start[head])]] = True
     return first, later
 
 
-SCHEMA = "h long, digest long, d long, place long"
+SCHEMA = "h long, digest long, d long, tag long, place long"
 
 
 def _scan(width: int, gram: int):
-    """Rows of SCHEMA; place packs first window (32 bits), the document's tag (16), windows (8) and the minimizer's place (8)."""
+    """Rows of SCHEMA; d and tag (its text's digest) name a document; place packs first window (high 32 bits), windows (8) and the minimizer's place (8)."""
 
     def flush(parts):
-        h, digest, d, place = (np.concatenate(x) for x in zip(*parts))
-        first, later = _firsts(h, digest, d, place)
+        h, digest, d, tag, place = (np.concatenate(x) for x in zip(*parts))
+        first, later = _firsts(h, digest, d, tag, place)
         kept = first | later
-        h, digest, d, place, first = h[kept], digest[kept], d[kept], place[kept], first[kept]
+        h, digest, d, tag, place, first = h[kept], digest[kept], d[kept], tag[kept], place[kept], first[kept]
         # what is known already needs no meeting place, and is dealt evenly
-        h = np.where(first, h, _mix(place.view(np.uint64) ^ d.view(np.uint64) * U(0xD6E8FEB86659FD93)))
+        h = np.where(first, h, _mix(place.view(np.uint64) ^ tag.view(np.uint64) ^ d.view(np.uint64) * U(0xD6E8FEB86659FD93)))
         place = np.where(first, place, place | KNOWN)
         for i in range(0, len(h), 1 << 16):
-            yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (h.view(np.int64), digest.view(np.int64), d, place)], names=["h", "digest", "d", "place"])
+            yield pa.record_batch([pa.array(x[i : i + (1 << 16)]) for x in (h.view(np.int64), digest.view(np.int64), d, tag, place)], names=["h", "digest", "d", "tag", "place"])
 
     def rows(batches):
         parts, size = [], 0
@@ -161,7 +161,7 @@ def _scan(width: int, gram: int):
                 continue
             of = np.searchsorted(ends, a, side="right")
             start = a - (ends - lengths)[of] + np.array(starts)[of]
-            parts.append((h, digest, np.array(ids, np.int64)[of], start << 32 | np.array(tags, np.int64)[of] << 16 | windows << 8 | place))
+            parts.append((h, digest, np.array(ids, np.int64)[of], np.array(tags, np.int64)[of], start << 32 | windows << 8 | place))
             size += len(h)
             if size >= FLUSH:
                 yield from flush(parts)
@@ -179,10 +179,10 @@ def _columns(batches, n: int) -> list[np.ndarray]:
 
 def _sort_out(batches):
     """Of the segments of a shard of hashes: known repeats (repeat), and candidates for a suffix array."""
-    h, digest, d, place = _columns(batches, 4)
+    h, digest, d, tag, place = _columns(batches, 5)
     h, digest = h.view(np.uint64), digest.view(np.uint64)
     known = place & 255 == KNOWN
-    yield from _placed(h[known], d[known], place[known], True)
+    yield from _placed(h[known], d[known], tag[known], place[known], True)
     rows = np.flatnonzero(~known)
     order = rows[np.argsort(h[rows], kind="stable")]
     same = h[order][1:] == h[order][:-1]
@@ -190,38 +190,38 @@ def _sort_out(batches):
     member[1:] |= same
     member[:-1] |= same
     rows = order[member]
-    h, digest, d, place = h[rows], digest[rows], d[rows], place[rows]
-    first, later = _firsts(h, digest, d, place)
-    yield from _placed(h[later], d[later], place[later], True)
-    h, d, place = h[first], d[first], place[first]
+    h, digest, d, tag, place = h[rows], digest[rows], d[rows], tag[rows], place[rows]
+    first, later = _firsts(h, digest, d, tag, place)
+    yield from _placed(h[later], d[later], tag[later], place[later], True)
+    h, d, tag, place = h[first], d[first], tag[first], place[first]
     if len(h):
         same = h[1:] == h[:-1]
         member = np.zeros(len(h), bool)
         member[1:] |= same
         member[:-1] |= same
-        yield from _placed(h[member], d[member], place[member], False)
+        yield from _placed(h[member], d[member], tag[member], place[member], False)
 
 
-def _placed(h, d, place, repeat: bool):
+def _placed(h, d, tag, place, repeat: bool):
     for i in range(0, len(h), 1 << 16):
         cut = slice(i, i + (1 << 16))
-        yield pa.record_batch([pa.array(h[cut].view(np.int64)), pa.array(d[cut]), pa.array(place[cut]), pa.array(np.full(len(h[cut]), repeat))], names=["h", "d", "place", "repeat"])
+        yield pa.record_batch([pa.array(h[cut].view(np.int64)), pa.array(d[cut]), pa.array(tag[cut]), pa.array(place[cut]), pa.array(np.full(len(h[cut]), repeat))], names=["h", "d", "tag", "place", "repeat"])
 
 
 def _fetch(width: int):
     def rows(batches):
         for b in batches:
-            for d, body, hs, places in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for d, tag, body, hs, places in zip(*(b.column(i).to_pylist() for i in range(5))):
                 out = []
                 for p in places:
                     at = p >> 32
                     out.append(body[at : at + (p >> 8 & 255) + width - 1])
-                yield pa.record_batch([pa.array(hs, pa.int64()), pa.array([d] * len(hs), pa.int64()), pa.array(places, pa.int64()), pa.array(out, pa.binary())], names=["h", "d", "place", "body"])
+                yield pa.record_batch([pa.array(hs, pa.int64()), pa.array([d] * len(hs), pa.int64()), pa.array([tag] * len(hs), pa.int64()), pa.array(places, pa.int64()), pa.array(out, pa.binary())], names=["h", "d", "tag", "place", "body"])
 
     return rows
 
 
-def repeats_of(bodies: list[bytes], d: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats_of(bodies: list[bytes], d: np.ndarray, tag: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the bodies that also occur earlier, as (index of the body, offset in it). The earliest is by (d, tag, start)."""
     lengths = np.array([len(x) for x in bodies])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -242,13 +242,13 @@ def repeats_of(bodies: list[bytes], d: np.ndarray, place: np.ndarray, width: int
     same[:-1] |= equal
     order, run = order[same], run[same]
     b = of[order]
-    begin, tag = (place[b] >> 32) + offset[order], place[b] >> 16 & 0xFFFF
-    by = np.lexsort((begin, tag, d[b], run))
+    begin = (place[b] >> 32) + offset[order]
+    by = np.lexsort((begin, tag[b], d[b], run))
     if len(by):
         new = np.concatenate(([True], run[by][1:] != run[by][:-1]))
         first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
         # equal rows of the table bring the same window twice
-        later = (d[b][by] != d[b][first]) | (tag[by] != tag[first]) | (begin[by] != begin[first])
+        later = (d[b][by] != d[b][first]) | (tag[b][by] != tag[b][first]) | (begin[by] != begin[first])
         order = order[by][later]
     return of[order], offset[order]
 
@@ -260,8 +260,8 @@ def _sorted_out(width: int):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        h, d, place = (np.concatenate(x) for x in zip(*([b.column(i).to_numpy() for i in range(3)] for b in batches)))
-        bodies = [x for b in batches for x in b.column(3).to_pylist()]
+        h, d, tag, place = (np.concatenate(x) for x in zip(*([b.column(i).to_numpy() for i in range(4)] for b in batches)))
+        bodies = [x for b in batches for x in b.column(4).to_pylist()]
         order = np.argsort(h, kind="stable")
         size = np.cumsum([len(bodies[i]) + 1 for i in order])
         new = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
@@ -271,7 +271,7 @@ def _sorted_out(width: int):
             stop = new[(new > begin) & (size[new - 1] - base >= SHARD)][:1]
             stop = int(stop[0]) if len(stop) else len(order)
             part = order[begin:stop]
-            of, offset = repeats_of([bodies[i] for i in part], d[part], place[part], width)
+            of, offset = repeats_of([bodies[i] for i in part], d[part], tag[part], place[part], width)
             begin = stop
             if not len(of):
                 continue
@@ -282,7 +282,7 @@ def _sorted_out(width: int):
             whose = part[key[cut] >> 32]
             start = (place[whose] >> 32) + (key[cut] & 0xFFFFFFFF)
             end = start + (key[last] - key[cut]) + width
-            yield pa.record_batch([pa.array(d[whose]), pa.array((place[whose] >> 16 & 0xFFFF)), pa.array(start << 32 | end)], names=["d", "tag", "span"])
+            yield pa.record_batch([pa.array(d[whose]), pa.array(tag[whose]), pa.array(start << 32 | end)], names=["d", "tag", "span"])
 
     return rows
 
@@ -321,18 +321,17 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = GRAM) -> DataF
         raise ValueError("width must be under 128 and gram shorter than it")
     spark = docs.sparkSession
     body = F.col("text").cast("binary")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").bitwiseAND(0xFFFF).cast("long").alias("tag"), body.alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("tag"), body.alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
     n = at_least(spark, text_bytes(docs) / 40e6)
     found = keyed.select("d", "tag", "body").mapInArrow(_scan(width, gram), SCHEMA).repartition(n, "h")
-    found = store(found.mapInArrow(_sort_out, "h long, d long, place long, repeat boolean"), "segments")
+    found = store(found.mapInArrow(_sort_out, "h long, d long, tag long, place long, repeat boolean"), "segments")
     candidates = found.where("not repeat")
-    tag = F.shiftright("place", 16).bitwiseAND(0xFFFF)
-    of = candidates.groupBy("d", tag.alias("tag")).agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))
-    bodies = keyed.select("d", "tag", "body").join(of, ["d", "tag"]).select("d", "body", "hs", "places")
-    shards = bodies.mapInArrow(_fetch(width), "h long, d long, place long, body binary").repartition(at_least(spark, candidates.count() / 100e3), "h")
+    of = candidates.groupBy("d", "tag").agg(F.collect_list("h").alias("hs"), F.collect_list("place").alias("places"))
+    bodies = keyed.select("d", "tag", "body").join(of, ["d", "tag"]).select("d", "tag", "body", "hs", "places")
+    shards = bodies.mapInArrow(_fetch(width), "h long, d long, tag long, place long, body binary").repartition(at_least(spark, candidates.count() / 100e3), "h")
     sorted_out = shards.mapInArrow(_sorted_out(width), "d long, tag long, span long")
     start = F.shiftright("place", 32)
     windows = F.shiftright("place", 8).bitwiseAND(255)
-    known = found.where("repeat").select("d", tag.alias("tag"), (F.shiftleft(start, 32) + start + windows + (width - 1)).alias("span"))
+    known = found.where("repeat").select("d", "tag", (F.shiftleft(start, 32) + start + windows + (width - 1)).alias("span"))
     spans = known.union(sorted_out).groupBy("d", "tag").agg(F.collect_list("span").alias("spans"))
     return keyed.join(spans, ["d", "tag"], "left").select("doc_id", "body", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")

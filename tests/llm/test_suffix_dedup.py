@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import suffix_array as sa
 from lodestone.llm import suffix_dedup as op
@@ -90,3 +91,17 @@ def test_defined_cases(docs):
     want = [(None, 0, 0, 0), (None, 5, 5, 0), (None, 300, 0, 1), (1, 0, 0, 0), (2, 4, 4, 0), (3, 1, 1, 0), (4, 8, 8, 0), (4, 8, 8, 0), (5, period, 5, 1), (6, 0, 0, 0), (7, 300, 300, 0), (7, 300, 300, 0), (8, 300, 0, 1)]
     assert got == sorted(want, key=str)
     assert op.remove_repeats(docs([])).count() == 0
+
+
+def test_many_rows_that_share_an_id_or_have_none(docs):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [text(150) for _ in range(200)]
+    for shared in (None, 7):
+        rows = [(shared, f"{text(rng.randint(20, 90))}{passages[i % 200] if i % 10 == 0 else text(110)}{text(20)}{i}") for i in range(4000)]
+        got = {bytes(r.kept) for r in op.remove_repeats(docs(rows).repartition(3)).collect()}
+        # rows that share an id rank by their text's digest
+        ranked = [(r.doc_id, r.text) for r in docs(rows).orderBy(F.xxhash64("text")).collect()]
+        want = brute(ranked)
+        assert sum(len(k) < len(t.encode()) for (_, k), (_, t) in zip(want, ranked)) == 380
+        assert got == {k for _, k in want}
