@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a temporary folder only where it is unset."""
+    """What spark.checkpoint.dir names; a temporary folder only on a single machine that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     mine = getattr(spark, "_lodestone_shared", None)
     if mine is None:
         mine = spark._lodestone_shared = "file://" + tempfile.mkdtemp(prefix="lodestone-")
