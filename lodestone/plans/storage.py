@@ -26,3 +26,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestone/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df: DataFrame, column: str, buckets: int, tag: str) -> DataFrame:
+    """df written as a table whose rows lie in buckets by a column's hash: groups and joins on it need no shuffle of it."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/lodestone/{name}").saveAsTable(name)
+    return spark.table(name)
