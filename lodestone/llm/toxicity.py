@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._common import release, remainder, store
 
-#: Groups of terms that may be exchanged for one another.
+#: Groups of terms that may be exchanged for one another, in four languages.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -32,6 +32,24 @@ IDENTITY_GROUPS = (
     ("immigrant", "refugee", "citizen", "foreigner"),
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("old", "young", "disabled", "blind", "deaf"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "buddhisten", "atheisten"),
+    ("christlich", "muslimisch", "jüdisch", "buddhistisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noir", "blanc", "asiatique", "arabe", "africain", "européen"),
+    ("gai", "lesbienne", "hétérosexuel", "bisexuel"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"),
+    ("homosexual", "lesbiana", "heterosexual"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
 )
 GROUP_OF = {w: group for group in IDENTITY_GROUPS for w in group}
 #: Labels that the weights are fitted on at most, the ones with the least digest of their id.
@@ -68,6 +86,8 @@ def swapped(words: set[str], salt: int) -> set[str] | None:
 class Model:
     weights: dict[str, float]
     bias: float
+    #: Labelled texts that a counterfactual was made of.
+    pairs: int = 0
 
     def of_word(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -135,8 +155,8 @@ def docs_of(rows: DataFrame, index: dict[str, int]) -> list[tuple[int, list[int]
         of = lambda words: sorted({at[f] for w in words for f in features(w) if f in at})
         for b in batches:
             out = []
-            for doc_id, toxic, words in zip(*(b.column(i).to_pylist() for i in range(3))):
-                salt = zlib.crc32(str(doc_id).encode())
+            for toxic, words in zip(*(b.column(i).to_pylist() for i in (1, 2))):
+                salt = zlib.crc32(" ".join(words).encode())
                 other = swapped(set(words), salt)
                 out.append((toxic, of(words), None if other is None else of(other), salt))
             yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 4, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()))], names=["toxic", "own", "other", "salt"])
@@ -168,7 +188,7 @@ def _descend(sample, index, names, penalty, ridge, rounds) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, float(bias))
+    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, float(bias), len(gaps))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,16 +210,17 @@ def default_held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 4) == 2
 
 
-def judge(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column] = default_held_out) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column] = default_held_out, sample: int = SAMPLE) -> DataFrame:
     """docs with `_held_out` and `_score`, by a model learned from labelled rows whose doc_id is not held out.
 
-    Learned from at most SAMPLE labels, those with the least digests of their ids; their texts are found by a
-    broadcast join of that bound, so that no text is shuffled. Default held out: crc32(doc_id as text) mod 4 is
+    Learned from at most `sample` labels, those with the least digests of their ids; their texts, one for each, are
+    found by a broadcast join of that bound, so that no other text is shuffled. Default held out: crc32(doc_id as text) mod 4 is
     2. Labels, lang, source and doc_id are no inputs of a score. Null doc_ids have no label; null labels are
-    ignored; of several labels of a doc_id the largest counts. Empty table: no rows. All columns stay.
+    ignored; of several labels of a doc_id the largest counts, of several texts the least. Empty table: no rows.
+    All columns stay; names beginning with an underscore are reserved.
     """
     held = lambda c: F.coalesce(held_out(c), F.lit(False))
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held(F.col("doc_id")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(store(sample, "labels")), "doc_id")
+    some = store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return score(docs.withColumn("_held_out", held(F.col("doc_id"))), fit(labelled))

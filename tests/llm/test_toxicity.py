@@ -44,6 +44,22 @@ def test_penalty_lowers_weights_of_identity_terms(spark, docs):
     assert gap(op.fit(both, penalty=20.0)) < gap(op.fit(both, penalty=0.0))
 
 
+def test_terms_of_each_language_are_swapped_and_counted(spark):
+    terms = ["women", "juden", "musulmans", "niñas"]
+    rows = spark.createDataFrame([(i, f"{w} in the text {i}", i % 2) for i, w in enumerate(terms * 3)] + [(99, "none here", 0)], "doc_id long, text string, toxic int")
+    assert op.fit(rows).pairs == 12
+    assert len(op.GROUP_OF) == sum(map(len, op.IDENTITY_GROUPS))
+
+
+def test_ids_do_not_change_scores_and_repeated_rows_are_learned_once(spark, docs):
+    rows, labels = corpus(100)
+    score = lambda shift, more: sorted(r._score for r in op.judge(docs([(i + shift, t) for i, t in rows + more]), spark.createDataFrame([(i + shift, y) for i, y in labels], "doc_id long, toxic int"), lambda c: op.F.lit(False)).where(op.F.col("doc_id") < 100 + shift).distinct().collect())
+    assert [round(r, 9) for r in score(0, [])] == [round(r, 9) for r in score(0, rows[:1] * 50)]
+    frame = spark.createDataFrame([(i, t, y) for (i, t), (_, y) in zip(rows, labels)], "doc_id long, text string, toxic int")
+    a, b = op.fit(frame), op.fit(frame.withColumn("doc_id", op.F.col("doc_id") * 7 + 13))
+    assert a.weights.keys() == b.weights.keys() and all(abs(a.weights[k] - b.weights[k]) < 1e-6 for k in a.weights)
+
+
 def test_swapping_stays_in_the_group():
     assert op.swapped({"a", "b"}, 1) is None
     for salt in range(5):
