@@ -1,7 +1,7 @@
-"""Quality rules: counts of whole texts, and the divergence of their histograms from their language's.
+"""Quality rules: counts of whole texts, and the distance of their histograms from their language's.
 
 DataFrame functions only. A text's histogram of character classes and its histogram of common words are compared
-with the reference of its language by Jensen-Shannon divergence (base 2, from 0 to 1). A reference is the mean
+with the reference of its language by Jensen-Shannon distance (base 2, from 0 to 1). A reference is the mean
 histogram of all documents of the language that are long enough and pass the base rules. Texts and languages
 with too little to compare are judged by the base rules alone.
 """
@@ -27,7 +27,7 @@ COMMON_WORDS = {
 CLASSES = (r"a-z\u00DF-\u00F6\u00F8-\u00FF", r"A-Z\u00C0-\u00D6\u00D8-\u00DE", r".,;:!?'\"()\-")
 SYMBOLS, DIGITS = r"#*$%&|<>", "0-9"
 MIN_WORDS, MIN_COMMON = 50, 20
-MAX_CLASS_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.02, 0.35
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.02**0.5, 0.35**0.5
 WINDOW = 5
 _ANY = sorted({w for words in COMMON_WORDS.values() for w in words})
 
@@ -41,10 +41,10 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1.0)))
 
 
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon, base 2, of two arrays of shares."""
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance, the root of the divergence to base 2, of two arrays of shares."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    return _sum(F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2))
+    return F.sqrt(F.greatest(_sum(F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)), F.lit(0.0)))
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -99,12 +99,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    class_divergence, word_divergence.
+    class_distance, word_distance.
 
     base_failed: under 10 words, or over a fifth of the words within 5-word windows that occur twice. Other texts
     go if they have MIN_WORDS words and diverge from their language's reference in characters, or in common
     words where they or at least MIN_COMMON of them would be expected. Null texts count as empty. A null or
-    unknown language, or one without reference documents, has null divergences and only base rules. Repeated
+    unknown language, or one without reference documents, has null distances and only base rules. Repeated
     rows and null ids are judged like any other. Empty table: no rows. Other columns are not read.
     """
     rows = measure(docs).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -116,7 +116,7 @@ def judge(docs: DataFrame) -> DataFrame:
     references = good.groupBy("lang").agg(mean("p", classes).alias("p0"), mean("w", words).alias("w0"), (F.sum(_sum(F.transform("common", lambda x: x.cast("double")))) / F.sum("n_words")).alias("rate"))
     judged = rows.join(F.broadcast(references), "lang", "left")
     long_ = F.col("n_words") >= MIN_WORDS
-    judged = judged.withColumn("class_divergence", F.when(F.col("p0").isNotNull() & long_, divergence(F.col("p"), F.col("p0"))))
-    judged = judged.withColumn("word_divergence", F.when(F.col("w0").isNotNull() & long_ & (F.col("rate") * F.col("n_words") >= MIN_COMMON), divergence(F.col("w"), F.col("w0"))))
-    diverges = (F.coalesce("class_divergence", F.lit(0.0)) > MAX_CLASS_DIVERGENCE) | (F.coalesce("word_divergence", F.lit(0.0)) > MAX_WORD_DIVERGENCE)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~diverges).alias("kept"), "class_divergence", "word_divergence")
+    judged = judged.withColumn("class_distance", F.when(F.col("p0").isNotNull() & long_, distance(F.col("p"), F.col("p0"))))
+    judged = judged.withColumn("word_distance", F.when(F.col("w0").isNotNull() & long_ & (F.col("rate") * F.col("n_words") >= MIN_COMMON), distance(F.col("w"), F.col("w0"))))
+    diverges = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~diverges).alias("kept"), "class_distance", "word_distance")

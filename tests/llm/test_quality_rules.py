@@ -43,21 +43,21 @@ def test_junk_goes_and_prose_stays(docs):
     got = {r.doc_id: r for r in op.judge(docs(rows)).collect()}
     assert all(got[i].kept for i in range(60)) and got[200].kept and got[201].kept
     assert not any(got[100 + i].kept for i in range(3))
-    assert got[201].class_divergence is None and got[0].class_divergence is not None
+    assert got[201].class_distance is None and got[0].class_distance is not None
 
 
-def test_divergence(spark):
+def test_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     arrays = [F.array(*map(F.lit, x)) for x in (p, q)]
     m = [(a + b) / 2 for a, b in zip(p, q)]
     want = sum(x * math.log2(x / y) / 2 for of in (p, q) for x, y in zip(of, m) if x)
-    row = spark.range(1).select(op.divergence(*arrays).alias("a"), op.divergence(arrays[0], arrays[0]).alias("b"), op.divergence(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("c")).first()
-    assert (row.a, row.b, row.c) == (pytest.approx(want), 0.0, pytest.approx(1.0))
+    row = spark.range(1).select(op.distance(*arrays).alias("a"), op.distance(arrays[0], arrays[0]).alias("b"), op.distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("c")).first()
+    assert (row.a, row.b, row.c) == (pytest.approx(want**0.5), 0.0, pytest.approx(1.0))
 
 
 def test_defined_cases(docs):
     assert op.judge(docs([])).count() == 0
     unknown = op.judge(docs([(1, "a b c d e f g h i j " + "% " * 90)], lang=None)).collect()
-    assert [(r.kept, r.base_failed, r.class_divergence) for r in unknown] == [(False, True, None)]
+    assert [(r.kept, r.base_failed, r.class_distance) for r in unknown] == [(False, True, None)]
     assert op.judge(docs([(1, " ".join(f"w{i}" for i in range(99)))], lang="xx")).first().kept
     assert op.measure(docs([(1, "a")])).count() == 1
