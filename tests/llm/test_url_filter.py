@@ -38,6 +38,35 @@ def test_distrust_flows_against_links_and_trust_along(spark):
     assert [x[3] for x in judged(spark, rows, rules)] == ["block", "block", "allow", "allow", "allow"]
 
 
+def test_verdicts_over_a_random_graph_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"h{i}.{rng.choice(['org', 'com', 'net'])}" for i in range(25)]
+    pages = [(rng.choice(hosts), rng.choice(["/fr/", "/de/", "/x"]), rng.choices(hosts, k=rng.randint(0, 4))) for _ in range(90)]
+    rows = [(f"https://{h}{p}{i}", "".join(f'<a href="//{t}/y">.</a>' for t in to)) for i, (h, p, to) in enumerate(pages)]
+    rule = lambda h, p: "allow" if h.endswith(".org") or h.endswith(".com") and p == "/fr/" else "block" if h.endswith(".com") and p == "/de/" else None
+    own = {h: [rule(a, p) for a, p, _ in pages if a == h] for h in {h for h, _, _ in pages}}
+    links = {}
+    for h, _, to in pages:
+        for t in to:
+            if t != h:
+                links[h, t] = links.get((h, t), 0) + 1
+
+    def rank(links, verdict):
+        seed = {h: own[h].count(verdict) / len(own[h]) for h in own}
+        out = {h: sum(n for (a, _), n in links.items() if a == h) for h in hosts}
+        now = {h: 0.15 * seed.get(h, 0) for h in hosts}
+        for _ in range(op.ROUNDS):
+            now = {h: 0.15 * seed.get(h, 0) + sum(0.85 * now[a] * n / out[a] for (a, b), n in links.items() if b == h) for h in hosts}
+        return {h: x / 0.15 for h, x in now.items()}
+
+    trust, distrust = rank(links, "allow"), rank({(b, a): n for (a, b), n in links.items()}, "block")
+    want = [rule(h, p) or ("block" if distrust[h] - trust[h] > op.THRESHOLD else "allow") for h, p, _ in pages]
+    assert {rule(h, p) and "rule" or v for (h, p, _), v in zip(pages, want)} == {"rule", "allow", "block"}
+    assert [x[3] for x in judged(spark, rows)] == want
+
+
 def test_propagation_against_brute_force(spark):
     import random
 
