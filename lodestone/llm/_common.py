@@ -1,37 +1,20 @@
-"""What several operators share: the shared folder, stored tables, and word splitting."""
+"""What several operators share: stored tables, word splitting, spans, and what workers keep."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored as store  # noqa: F401
+from ..plans.storage import stored_by as store_by  # noqa: F401
+
 #: Words are the maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands in for a missing doc_id in orderings: such rows rank last.
 NO_ID = 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    mine = getattr(spark, "_lodestone_shared", None)
-    if mine is None:
-        mine = spark._lodestone_shared = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return mine
-
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -55,6 +38,14 @@ def at_least(spark: SparkSession, n: float) -> int:
     return max(int(n) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of packed spans (start in the high half, end in the low)."""
+    spans = np.sort(np.asarray(spans, np.int64))
+    start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    return list(zip(start[new].tolist(), end[np.concatenate((new[1:], [len(end)])) - 1].tolist()))
+
+
 _held: dict = {}
 
 

@@ -34,17 +34,36 @@ qualify row_number() over (partition by doc_id, item_id order by similarity desc
 """
 
 SQL["op6_line_dedup"] = r"""
-with lines as (
-  select doc_id, i, len(l) as n, l[i] as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)
-), normal as (
-  select *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) as norm from lines
+with parts as (
+  select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][!-/:-@\[-`{-~]*[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*)', '\1' || chr(57344), 'g'), chr(57344)) as p from documents
+), worded as (
+  select doc_id, p, list_transform(p, lambda x: regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+')) as w from parts
+), numbered as (
+  select doc_id, i, p[i] as part, len(w[i]) as n from (select doc_id, p, w, unnest(range(1, len(p) + 1)) as i from worded)
+), sized as (
+  select *, sum(n) over (partition by doc_id order by i) as upto, cast(sum(length(part)) over (partition by doc_id order by i) as bigint) as stop from numbered
+), bounds as (
+  select a.doc_id, a.i, b.i as j from (select *, upto - n + 20 as wanted from sized where n > 0) a
+  asof join (select * from sized where n > 0) b on a.doc_id = b.doc_id and a.wanted <= b.upto
+), units as (
+  select doc_id, i, j, flatten(w[i : j]) as words from bounds join worded using (doc_id)
 ), ranked as (
-  select *, len(string_split(norm, ' ')) >= 4 and row_number() over (partition by norm order by doc_id, i) > 1 as gone from normal
+  select doc_id, i, j, row_number() over (partition by array_to_string(words, ' ') order by doc_id, i) > 1 as again from units where len(list_distinct(words)) >= 10
+), gone as (
+  select distinct doc_id, i from (select doc_id, unnest(range(i, j + 1)) as i from ranked where again)
+), judged as (
+  select s.*, g.i is not null as gone from sized s left join gone g on s.doc_id = g.doc_id and s.i = g.i
+), runs as (
+  select doc_id, min(stop - length(part)) as a, max(stop) as z
+  from (select *, i - row_number() over (partition by doc_id order by i) as run from judged where gone) group by doc_id, run
+), spans as (
+  select doc_id, string_agg(a || '-' || z, ',' order by a) as spans from runs group by doc_id
 )
 select doc_id,
-  cast(sum(case when gone then length(line) + (case when i < n then 1 else 0 end) else 0 end) as bigint) as n_removed,
-  sha256(coalesce(string_agg(case when i < n then line || chr(10) else line end, '' order by i) filter (where not gone), '')) as kept_sha256
-from ranked group by doc_id
+  cast(sum(case when gone then length(part) else 0 end) as bigint) as n_removed,
+  sha256(coalesce(string_agg(part, '' order by i) filter (where not gone), '')) as kept_sha256,
+  coalesce(any_value(spans), '') as spans
+from judged left join spans using (doc_id) group by doc_id
 """
 
 SQL["op9_chat_template"] = r"""

@@ -52,7 +52,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = (F.length("text") - F.length("_kept")).cast("long").alias("n_removed")
-    return found.select("doc_id", n_removed, F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    spans = F.array_join(F.transform("_spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans")
+    return found.select("doc_id", n_removed, F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"), spans)
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

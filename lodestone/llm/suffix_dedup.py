@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, at_least, store, text_bytes
+from ._common import NO_ID, at_least, merged, store, text_bytes
 from .suffix_array import common_prefixes, suffix_array
 
 BLOCK = 1 << 20
@@ -127,7 +127,7 @@ def _firsts(h, digest, d, tag, place) -> tuple[np.ndarray, np.ndarray]:
         start = place[rows] >> 32
         by = np.lexsort((start, tag[rows], d[rows], both[rows]))
         rows, start = rows[by], start[by]
-        new = np.concatenate(([True], both[rows][1:] != both[rows][:-1]))
+        new = np.concatenate(([True], (h[rows][1:] != h[rows][:-1]) | (digest[rows][1:] != digest[rows][:-1])))
         head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
         first[rows[~new]] = False
         later[rows[(d[rows] != d[rows][head]) | (tag[rows] != tag[rows][head]) | (start != start[head])]] = True
@@ -287,14 +287,6 @@ def _sorted_out(width: int):
     return rows
 
 
-def merged(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of packed spans (start in the high half, end in the low)."""
-    spans = np.sort(np.asarray(spans, np.int64))
-    start, end = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
-    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
-    return list(zip(start[new].tolist(), end[np.concatenate((new[1:], [len(end)])) - 1].tolist()))
-
-
 def _cut(batches):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for b in batches:
