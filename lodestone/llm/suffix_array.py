@@ -2,18 +2,16 @@
 
 Suffixes are classified as S (smaller than the next one) or L; a leftmost S (LMS) starts after an L. LMS
 substrings are sorted by inducing from their first symbols, named, and the string of names is sorted in the
-same way until names are unique or their alphabet grows large, where ranks are doubled instead. The order of
-the LMS suffixes then induces the whole array. Buckets are worked off one after the other; within a bucket all
-entries known at a time are handled at once, so that the loop runs once per symbol and repeat, not per suffix.
+same way until names are unique. The order of the LMS suffixes then induces the whole array. Buckets are worked
+off one after the other; within a bucket all entries known at a time are handled at once, so that the loop runs
+once per symbol and repeat, not per suffix. A string of many names is written as two digits a name before it is
+sorted, which leaves few buckets; its even places have the order of the names' suffixes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Beyond so many symbols a reduced string's ranks are doubled: inducing visits each symbol's bucket.
-LARGE_ALPHABET = 2000
-
 
 def classify(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last suffix (a unique least symbol) is S."""
@@ -31,67 +29,73 @@ def leftmost(is_s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
 
 
-def _deal(at: np.ndarray, symbols: np.ndarray, out: list) -> None:
-    if len(at):
-        order = np.argsort(symbols, kind="stable")
-        at, symbols = at[order], symbols[order]
-        cut = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for c, part in zip(symbols[np.concatenate(([0], cut))].tolist(), np.split(at, cut)):
-            out[c].append(part)
-
-
-def _worked(parts: list, s: np.ndarray, wanted: np.ndarray, c: int, out: list) -> np.ndarray:
-    """All entries of one half of bucket c in the order of discovery; what they induce elsewhere goes to out."""
-    done, now = [], np.concatenate(parts) if parts else np.empty(0, np.int64)
-    while len(now):
-        done.append(now)
-        before = now[now > 0] - 1
-        before = before[wanted[before]]
-        symbols = s[before]
-        here = symbols == c
-        _deal(before[~here], symbols[~here], out)
-        now = before[here]
-    return np.concatenate(done) if done else np.empty(0, np.int64)
+def _put(out: np.ndarray, free: np.ndarray, at: np.ndarray, symbols: np.ndarray, step: int) -> None:
+    """Entries to the free places of their buckets, in their order; step: 1 upwards, -1 downwards."""
+    if len(at) < 24:
+        for i, c in zip(at.tolist(), symbols.tolist()):
+            out[free[c]] = i
+            free[c] += step
+        return
+    order = np.argsort(symbols, kind="stable")
+    at, symbols = at[order], symbols[order]
+    new = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+    n = np.append(new[1:], len(at)) - new
+    out[free[symbols] + step * (np.arange(len(at)) - np.repeat(new, n))] = at
+    free[symbols[new]] += step * n
 
 
 def induce(s: np.ndarray, k: int, is_s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """All suffixes, sorted as far as the order of seeds (LMS positions, ascending within a bucket) determines it."""
-    is_l = ~is_s
-    planted: list = [[] for _ in range(k)]
-    _deal(seeds, s[seeds], planted)
-    large: list = [[] for _ in range(k)]
+    symbols = s.astype(np.uint16) if k <= 1 << 16 else s  # short keys are sorted by radix
+    ends = np.cumsum(np.bincount(s, minlength=k))
+    starts = np.concatenate(([0], ends[:-1]))
+    seeded = np.bincount(s[seeds], minlength=k)
+    out = np.full(len(s), -1)
+    _put(out, ends - seeded, seeds, symbols[seeds], 1)
+    free, lows, highs, first = starts.copy(), starts.tolist(), ends.tolist(), (ends - seeded).tolist()
+
+    wanted = np.append(~is_s, False)  # nothing comes before place 0, whose index wraps around
+
+    def induced(now: np.ndarray, step: int) -> None:
+        before = now - 1
+        before = before[wanted[before]]
+        if len(before):
+            _put(out, free, before, symbols[before], step)
+
     for c in range(k):
-        if large[c] or planted[c]:
-            large[c] = _worked(large[c], s, is_l, c, large)
-            for part in planted[c]:
-                before = part[part > 0] - 1
-                before = before[is_l[before]]
-                _deal(before, s[before], large)
-    small: list = [[] for _ in range(k)]
-    for c in range(k - 1, -1, -1):
-        small[c] = _worked(small[c], s, is_s, c, small)
-        if len(large[c]):
-            before = large[c][::-1]
-            before = before[before > 0] - 1
-            before = before[is_s[before]]
-            _deal(before, s[before], small)
+        at = lows[c]
+        while at < (to := int(free[c])):
+            induced(out[at:to], 1)
+            at = to
+        if first[c] < highs[c]:
+            induced(out[first[c] : highs[c]], 1)
+    large = free.tolist()
+    free, wanted = ends - 1, np.append(is_s, False)
     # the last suffix has no successor that could induce it
-    small[s[-1]] = np.concatenate((small[s[-1]], [len(s) - 1]))
-    return np.concatenate([x for c in range(k) for x in (large[c], small[c][::-1]) if len(x)]).astype(np.int64)
-
-
-def _doubled(s: np.ndarray) -> np.ndarray:
-    rank, width, n = np.unique(s, return_inverse=True)[1].astype(np.int64), 1, len(s)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        pair = rank * (n + 1) + after
-        order = np.argsort(pair, kind="stable")
-        new = np.cumsum(np.concatenate(([0], pair[order][1:] != pair[order][:-1])))
-        rank[order] = new
-        if new[-1] == n - 1 or width >= n:
-            return order
-        width *= 2
+    out[starts[s[-1]]] = len(s) - 1
+    for c in range(k - 1, -1, -1):
+        at = highs[c] - 1
+        while at > (to := int(free[c])):
+            induced(out[to + 1 : at + 1][::-1], -1)
+            at = to
+        if lows[c] < large[c]:
+            induced(out[lows[c] : large[c]][::-1], -1)
+    return out
+
+
+def _names_sorted(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names, by way of its digits if it has many names for its length."""
+    k, n = int(names.max()) + 1, len(names)
+    if 16 * k < n or k < 64:
+        return suffix_array(names)
+    base = int(np.ceil(np.sqrt(k)))
+    digits = np.zeros(2 * n - 1, np.int64)
+    digits[:-1:2], digits[1::2] = names[:-1] // base + 1, names[:-1] % base + 1
+    if len(leftmost(classify(digits))) > 0.9 * n:
+        # digits that rise in nearly every name do not shorten the string
+        return suffix_array(names)
+    order = suffix_array(digits)
+    return order[order % 2 == 0] // 2
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -123,10 +127,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if len(order) and reduced.max() + 1 == len(lms):
         lms_order = np.empty(len(lms), np.int64)
         lms_order[reduced] = np.arange(len(lms))
-    elif reduced.max() < LARGE_ALPHABET:
-        lms_order = suffix_array(reduced)
     else:
-        lms_order = _doubled(reduced)
+        lms_order = _names_sorted(reduced)
     return induce(s, k, is_s, lms[lms_order])
 
 

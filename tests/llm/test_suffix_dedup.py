@@ -12,21 +12,45 @@ from .conftest import ODD
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=40), st.sampled_from([0, 4, 2000]))
-def test_suffix_array_and_common_prefixes(symbols, large):
-    before, sa.LARGE_ALPHABET = sa.LARGE_ALPHABET, large
+@given(st.lists(st.integers(1, 3), max_size=40), st.booleans())
+def test_suffix_array_and_common_prefixes(symbols, many):
+    # many: an alphabet that leaves the string to its digits as soon as it has names
+    s = [*(x * 400 + i % 7 if many else x for i, x in enumerate(symbols)), 0]
+    want = sorted(range(len(s)), key=lambda i: s[i:])
+    assert sa.suffix_array(np.array(s)).tolist() == want
+    if many:
+        return
+    plcp = sa.common_prefixes(np.array(s, np.uint8), np.array(want), 16)
+    for a, b in zip(want, want[1:]):
+        n = 0
+        while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+            n += 1
+        assert plcp[b] == min(n, 16)
+
+
+def test_suffix_array_of_a_long_text_recurses_to_the_end():
+    """A megabyte of text with long repeats: names are many, and are sorted by induction at every level."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(20_000)]
+    passage = " ".join(rng.choices(words, k=20_000))
+    text = np.frombuffer((passage + " ".join(rng.choices(words, k=60_000)) + passage + "a" * 500).encode(), np.uint8)
+    levels, real = [], sa.induce
+
+    def counted(s, k, *rest):
+        levels.append((len(s), k))
+        return real(s, k, *rest)
+
+    sa.induce = counted
     try:
-        s = [*symbols, 0]
-        want = sorted(range(len(s)), key=lambda i: s[i:])
-        assert sa.suffix_array(np.array(s)).tolist() == want
-        plcp = sa.common_prefixes(np.array(s, np.uint8), np.array(want), 16)
-        for a, b in zip(want, want[1:]):
-            n = 0
-            while max(a, b) + n < len(s) and s[a + n] == s[b + n]:
-                n += 1
-            assert plcp[b] == min(n, 16)
+        order = sa.suffix_array(np.concatenate((text.astype(np.int32), [0])))[1:]
     finally:
-        sa.LARGE_ALPHABET = before
+        sa.induce = real
+    assert len(levels) > 6 and all(16 * k < n or n < 5000 for n, k in levels if n > 64 * 64)
+    assert np.array_equal(np.sort(order), np.arange(len(text)))
+    # each suffix is greater than the one before it: at the first byte that differs
+    body, a, b = text.tobytes(), order[:-1], order[1:]
+    for i in rng.sample(range(len(a)), 3000):
+        assert body[a[i] :] < body[b[i] :]
 
 
 def brute(rows, w=100):
