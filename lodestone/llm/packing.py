@@ -11,12 +11,14 @@ them, computed in the executors, and the rank says which sequence and place it h
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def reduce(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     """Fixes dominating sets: takes them out of counts, and returns (lengths, number of sequences).
 
     A piece that fits with no other is alone. A piece and the largest partner that fits dominate all other sets
-    with that piece if the two fill the sequence, if no two further pieces fit, or if the partner is at least as
-    long as any two further pieces that fit together.
+    with that piece if the two fill the sequence, if no two further pieces fit, or if no three further ones do and
+    the partner is at least as long as any two that fit together: the partner may then change places with them.
     """
     fixed = []
 
@@ -55,7 +57,8 @@ def reduce(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
                 continue
             k = lengths_left[i]
             n = counts[x] // 2 if k == x else min(counts[x], counts[k])
-            if k != room and 2 * lengths_left[0] <= room and _two(lengths_left, room) > k:
+            least = lengths_left[0]
+            if k != room and 2 * least <= room and (3 * least <= room or _two(lengths_left, room) > k):
                 break
             take(n, x, k)
     return fixed
@@ -133,8 +136,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return out
 
 
+def splits_at_white_space(made: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, lower-cases and then keeps only pieces without white space, letters apart from points."""
+    listed = lambda x, key: x[key] if x and x["type"] == "Sequence" else [x] if x else []
+    normal = [x["type"] for x in listed(made.get("normalizer"), "normalizers")]
+    first = (listed(made.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    pieces = first.get("pattern", {}).get("Regex") if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") else None
+    if "Lowercase" not in normal or not set(normal) <= {"NFC", "Replace", "Lowercase"} or pieces is None:
+        return False
+    return all(regex.findall(pieces, f"ab{x}cd") == ["ab", "cd"] for x in map(chr, (9, 10, 11, 12, 13, 32))) and regex.findall(pieces, "ab. cd, ef") == ["ab", ".", "cd", ",", "ef"]
+
+
 class _Ids:
-    """Token ids of texts. No token reaches over ASCII white space, so that each distinct part is tokenised once.
+    """Token ids of texts. Of a tokenizer that lower-cases, and drops white space first of all, no token reaches over
+    white space or depends on case, so that each distinct part is tokenised once; others get whole texts.
 
     Parts are tokenised many at a time, with a special token between them. Two generations of known parts keep
     the frequent ones and bound the memory.
@@ -147,6 +162,7 @@ class _Ids:
 
         self.tokenizer, self.new, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
         self.between = self.tokenizer.token_to_id(self.BETWEEN)
+        self.by_parts = splits_at_white_space(json.loads(self.tokenizer.to_str()))
 
     def learn(self, words: list[str], at_a_time: int = 400) -> None:
         if self.between is None:
@@ -179,6 +195,9 @@ class _Ids:
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many belong to each text."""
+        if not self.by_parts:
+            own = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in text.to_pylist()]
+            return np.concatenate([np.empty(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64)
         # case and a point or comma after a letter change no other token, and make for fewer distinct parts
         if not pc.any(pc.match_substring(text, "<|")).as_py():
             text = pc.replace_substring_regex(pc.ascii_lower(text), r"([a-z])([.,])(\s|$)", r"\1 \2\3")

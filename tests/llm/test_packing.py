@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -65,6 +65,30 @@ def test_plans_are_gapless_and_reduction_is_optimal(counts):
         assert sum(n for _, n in fixed) + optimum(rest, 20) == optimum(lengths, 20)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(8, 100), min_size=1, max_size=8))
+def test_reduction_keeps_an_optimum(lengths):
+    left = dict(Counter(lengths))
+    fixed = op.reduce(left, 100)
+    rest = sorted((x for x, n in left.items() for _ in range(n)), reverse=True)
+    assert sum(n for _, n in fixed) + optimum(rest, 100) == optimum(sorted(lengths, reverse=True), 100)
+
+
+def test_two_pieces_do_not_dominate_three():
+    counts = dict(Counter([60, 30, 35, 35, 13, 13, 13]))
+    assert op.reduce(counts, 100) == [] and optimum([60, 35, 35, 30, 13, 13, 13], 100) == 2
+
+
+def test_other_tokenizers_get_whole_texts(docs):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert op._Ids(PATH).by_parts and not op._Ids(other).by_parts
+    texts = ["Two  Words, and\nmore.", "", " x "]
+    ids, sizes = op._Ids(other)(pa.array(texts))
+    tokenizer = Tokenizer.from_file(other)
+    own = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(own, []) and sizes.tolist() == list(map(len, own))
+
+
 def test_tokens_equal_the_tokenizers_own():
     rng = random.Random(1)
     base = [" ", "a<|endoftext|>b", "é É  a b", "don't I'll  's", "ΑΣ ς", "İ", "\x1c a\x85c", "12 3½", "漢字", "🙂👍🏽", "́", "<|", "|>"]
