@@ -42,8 +42,8 @@ def test_verdicts_over_a_random_graph_against_brute_force(spark):
     import random
 
     rng = random.Random(2)
-    hosts = [f"h{i}.{rng.choice(['org', 'com', 'net'])}" for i in range(25)]
-    pages = [(rng.choice(hosts), rng.choice(["/fr/", "/de/", "/x"]), rng.choices(hosts, k=rng.randint(0, 4))) for _ in range(90)]
+    hosts = [f"h{i}.{rng.choice(['org', 'com', 'com', 'net', 'net'])}" for i in range(25)]
+    pages = [(rng.choice(hosts), rng.choice(["/fr/", "/de/", "/de/", "/de/", "/x"]), rng.choices(hosts, k=rng.randint(0, 4))) for _ in range(90)]
     rows = [(f"https://{h}{p}{i}", "".join(f'<a href="//{t}/y">.</a>' for t in to)) for i, (h, p, to) in enumerate(pages)]
     rule = lambda h, p: "allow" if h.endswith(".org") or h.endswith(".com") and p == "/fr/" else "block" if h.endswith(".com") and p == "/de/" else None
     own = {h: [rule(a, p) for a, p, _ in pages if a == h] for h in {h for h, _, _ in pages}}
