@@ -132,16 +132,18 @@ class _Reader:
         return both(on) + ("-" + both(off) if off else "")
 
     def translate(self) -> str:
-        out, stack, multi, verbose = [], [], False, False
+        out, stack, multi, verbose, atom = [], [], False, False, 0  # atom: where what a repetition repeats begins in out
         repeated = True  # what precedes can't be repeated
         while self.at < len(self.text):
             c = self.text[self.at]
+            if c not in ")*+?{":
+                atom = len(out)
             if c == "\\":
                 out.append(self.escape(False))
             elif c == "[":
                 out.append(self.klass())
             elif c == "(":
-                stack.append((multi, verbose))
+                stack.append((multi, verbose, atom))
                 m = re.compile(r"\((?:\?(?:P?<(\w+)>|([imsxuUR-]*)([:)])|(.)))?").match(self.text, self.at)
                 self.at = m.end()
                 if m[4]:
@@ -166,7 +168,7 @@ class _Reader:
             elif c == ")":
                 if not stack:
                     self.fail("unopened group")
-                multi, verbose = stack.pop()
+                multi, verbose, atom = stack.pop()
                 out.append(")")
                 self.at += 1
             elif c in "^$":
@@ -178,11 +180,13 @@ class _Reader:
             elif c in "*+?" or (c == "{" and re.compile(r"\{\d+(,\d*)?\}").match(self.text, self.at)):
                 if repeated:
                     self.fail("repetition without an expression")
-                m = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})\??").match(self.text, self.at)
+                repetition = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})\??")
+                m = repetition.match(self.text, self.at)
                 out.append(m[0])
                 self.at = m.end()
-                if self.text[self.at : self.at + 1] in ("*", "+", "?") and self.text[self.at : self.at + 1]:
-                    self.fail("nested repetition is not supported")
+                if repetition.match(self.text, self.at):
+                    # a repetition of a repetition; both engines would read the pair as a mode of the first
+                    out[atom:] = ["(?:", *out[atom:], ")"]
                 continue
             elif c == "{":
                 self.fail("unclosed repetition")

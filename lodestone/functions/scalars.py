@@ -141,20 +141,28 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(date(c), let(trimmed(c), _epoch))
 
 
+def _utc_text(second: Column) -> Column:
+    """Date and time of seconds since 1970, whatever the session's time zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / F.lit(86400)).cast("int"))
+    clock = F.pmod(second, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    return F.concat(day.cast("string"), F.lit("T"), F.concat_ws(":", two(F.floor(clock / 3600)), two(F.floor(clock / 60) % 60), two(clock % 60)))
+
+
 def filetime(ticks: Column) -> Column:
     """RFC 3339 text of 100 ns ticks since 1601 in UTC; empty for zero."""
-    micros = F.floor(ticks / F.lit(10)).cast("bigint") - F.lit(TICKS_TO_UNIX * 10**6)
+    second = ((ticks - F.pmod(ticks, F.lit(10**7))) / F.lit(10**7)).cast("bigint") - F.lit(TICKS_TO_UNIX)
     rest = F.pmod(ticks, F.lit(10**7)) * 100
     fraction = F.when(rest == 0, "").when(rest % 10**6 == 0, F.concat(F.lit("."), F.lpad((rest / 10**6).cast("int").cast("string"), 3, "0"))).when(rest % 1000 == 0, F.concat(F.lit("."), F.lpad((rest / 1000).cast("int").cast("string"), 6, "0"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 9, "0")))
-    return F.when(ticks == 0, "").otherwise(F.concat(F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00")))
+    return F.when(ticks == 0, "").otherwise(F.concat(_utc_text(second), fraction, F.lit("+00:00")))
 
 
 def ole_date(days: Column) -> Column:
     """RFC 3339 text of days since 1899-12-30; the fraction counts forward for negative days too. Text of what is no date."""
     whole = F.when(days < 0, F.ceil(days)).otherwise(F.floor(days))
     micros = F.round((F.abs(days) - F.abs(whole)) * F.lit(86_400_000_000.0)).cast("bigint")
-    at = F.timestamp_micros((whole.cast("bigint") - 25569) * F.lit(86_400_000_000) + micros)
-    return F.when(F.isnan(days) | (F.abs(days) > 2_958_466), days.cast("string")).otherwise(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
+    second = (whole.cast("bigint") - 25569) * F.lit(86_400) + F.floor(micros / F.lit(10**6)).cast("bigint")
+    return F.when(F.isnan(days) | (F.abs(days) > 2_958_466), days.cast("string")).otherwise(F.concat(_utc_text(second), F.lit("+00:00")))
 
 
 #: Lower-case Russian letters after `е`, and where `ё` belongs among them.

@@ -81,7 +81,7 @@ def test_regex_dialect(spark, pattern, text, hit):
     assert bool(regex.search(regexes.python(pattern), text)) is hit
 
 
-@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)b", r"(a)\1", "*a", "[a", "(a", "a)", r"\Qa", "(?U)a", "a**", "(?>a)"])
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)b", r"(a)\1", "*a", "[a", "(a", "a)", r"\Qa", "(?U)a", "(?>a)"])
 def test_refused_patterns(pattern):
     with pytest.raises(regexes.PatternError):
         regexes.java(pattern)
@@ -128,3 +128,33 @@ def test_strings_in_bytes():
 @pytest.mark.parametrize(("given", "want"), [("48 65 6C 6C 6F", "Hello"), ("0x48,0x65, 0x6c 0x6c", "Hell"), (r"\x48\x65\x6c\x6c", "Hell"), (r"\x48656c6c", "Hell"), ("X'48656c6c'", "Hell"), ("[48, 65, 6C, 6C]", "Hell"), ("48656c6c6f20776f726c64", "Hello world"), ("cafe", None), ("48656c6c", None), ("48 65 6", None), ("48 65 6c", None), ("48:65:6c:6c", None), ("48 65,, 6c 6c", None), ("0x48 65 6c 6c", None)])
 def test_hexadecimal_spellings(given, want):
     assert binary_text.readable_hex(given) == want
+
+
+def test_repetitions_of_repetitions(spark):
+    import re
+
+    import regex
+
+    cases = {r"^a{2}{3}$": "^(?:a{2}){3}$", r"^a**$": "^(?:a*)*$", r"^ba++$": "^b(?:a+)+$", r"^(ab)?{2}$": "^(?:(ab)?){2}$", r"^[ab]{2}+c$": "^(?:[ab]{2})+c$", r"^(a(b)){1}{2}$": "^(?:(a(b)){1}){2}$"}
+    texts = ["", "a", "aa", "aaaa", "aaaaaa", "ba", "baa", "ab", "abab", "ababab", "abc", "ababc", "abac"]
+    for given, plain in cases.items():
+        for text in texts:
+            hit = re.search(plain, text) is not None
+            assert (regex.search(regexes.python(given), text) is not None) is hit, (given, text)
+        got = column(spark, texts, lambda v, p=regexes.java(given): v.rlike(p))
+        assert got == [re.search(plain, t) is not None for t in texts], given
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/St_Johns"])
+def test_times_do_not_depend_on_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ticks = [116444736000000000, 0, 132537600000000000 + 1234567, 1, 116444735999999990]
+        rows = spark.createDataFrame(list(enumerate(ticks)), "i int, t long").orderBy("i")
+        assert [r[0] for r in rows.select(scalars.filetime(F.col("t"))).collect()] == ["1970-01-01T00:00:00+00:00", "", "2020-12-30T00:00:00.123456700+00:00", "1601-01-01T00:00:00.000000100+00:00", "1969-12-31T23:59:59.999999+00:00"]
+        days = [25569.0, 0.0, 2.5, -1.25, 36526.75]
+        rows = spark.createDataFrame(list(enumerate(days)), "i int, t double").orderBy("i")
+        assert [r[0] for r in rows.select(scalars.ole_date(F.col("t"))).collect()] == ["1970-01-01T00:00:00+00:00", "1899-12-30T00:00:00+00:00", "1900-01-01T12:00:00+00:00", "1899-12-29T06:00:00+00:00", "2000-01-01T18:00:00+00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
