@@ -8,6 +8,7 @@ from their pieces by a shuffle of these pieces alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,25 +69,31 @@ class Parser:
             return "".join(parts), at
 
 
-def ends_quoted(line: str, quoted: bool, delimiter: str) -> bool:
-    """Whether the line after this one begins within quotes."""
-    at, n = 0, len(line)
+def segments(line: str, quoted: bool, delimiter: str) -> tuple[list[str], bool]:
+    """A line's parts between carriage returns outside of quotes, and whether the next line begins within quotes."""
+    if not quoted and '"' not in line:
+        return line.split("\r"), False
+    stop = re.compile(f"[\r{re.escape(delimiter)}]")
+    out, begin, at = [], 0, 0
     while True:
         if quoted:
             end = line.find('"', at)
             if end < 0:
-                return True
+                return [*out, line[begin:]], True
             if line[end + 1 : end + 2] == '"':
                 at = end + 2
                 continue
             quoted, at = False, end + 1
-        elif at < n and line[at] == '"' and (at == 0 or line[at - 1] == delimiter):
+        elif line[at : at + 1] == '"' and (at == begin or line[at - 1] == delimiter):
             quoted, at = True, at + 1
             continue
-        at = line.find(delimiter, at)
-        if at < 0:
-            return False
-        at += 1
+        found = stop.search(line, at)
+        if not found:
+            return [*out, line[begin:]], False
+        at = found.end()
+        if found[0] == "\r":
+            out.append(line[begin : at - 1])
+            begin = at
 
 
 def _blocks(batches) -> Iterator[tuple[int, list[str]]]:
@@ -110,8 +117,9 @@ def _reduced(delimiter: str):
             states, starts = [False, True], [0, 0]
             for line in lines:
                 for k in (0, 1):
-                    starts[k] += not states[k] and line.strip("\r") != ""
-                    states[k] = ends_quoted(line, states[k], delimiter)
+                    parts, after = segments(line, states[k], delimiter)
+                    starts[k] += sum(x != "" for x in parts[states[k] :])
+                    states[k] = after
             yield pa.record_batch([pa.array([x]) for x in (block, states[0], states[1], starts[0], starts[1])], names=["block", "plain", "quoted", "n_plain", "n_quoted"])
 
     return rows
@@ -126,19 +134,18 @@ def _cut(delimiter: str, begin: dict):
             quoted, number = begin[block]
             number -= 1
             out, record, first = [], [], quoted
-            for i, line in enumerate(lines):
-                if not quoted and line.strip("\r") == "" and not record:
-                    continue
-                if not quoted:
-                    number += 1
-                record.append(line)
-                quoted = ends_quoted(line, quoted, delimiter)
-                if not quoted:
-                    if first:
-                        out.append((number, block, None, "\n".join(record)))
-                    else:
-                        out.append((number, block, next(parser.feed_all("\n".join(record)), [""]), None))
-                    record, first = [], False
+            for line in lines:
+                parts, after = segments(line, quoted, delimiter)
+                for i, part in enumerate(parts):
+                    if not quoted and part == "":
+                        continue
+                    number += not quoted
+                    record.append(part)
+                    quoted = after and i + 1 == len(parts)
+                    if not quoted:
+                        whole = "\n".join(record)
+                        out.append((number, block, None, whole) if first else (number, block, next(parser.feed_all(whole), [""]), None))
+                        record, first = [], False
             if record:
                 out.append((number, block, None, "\n".join(record)))
             for k in range(0, len(out), 2000):

@@ -8,11 +8,11 @@ GENERATED = {"en": {"column": "Column {}", "text": "Text"}, "ru": {"column": "С
 
 
 def unique(names: list[str]) -> list[str]:
-    """Names with ` (2)`, ` (3)`, ... after repeated ones, skipping names that are taken."""
+    """Names with ` (2)`, ` (3)`, ... after those that are taken by an earlier one."""
     out, taken = [], set()
     for name in names:
         candidate, n = name, 2
-        while candidate in taken or (candidate != name and candidate in names):
+        while candidate in taken:
             candidate, n = f"{name} ({n})", n + 1
         taken.add(candidate)
         out.append(candidate)
