@@ -48,7 +48,7 @@ def test_broken_quotes_are_errors(spark, tmp_path, body):
 
 def test_delimiters_and_headers():
     assert [detect.delimiter(x) for x in ("a;b;c\n1;2;3", "a\tb\n1\t2", "a|b\n1|2", "plain\ntext")] == [";", "\t", "|", None]
-    assert headers.unique(["a", "a", "a (2)", "a"]) == ["a", "a (3)", "a (2)", "a (4)"]
+    assert headers.unique(["a", "a", "a (2)", "a"]) == ["a", "a (2)", "a (2) (2)", "a (3)"]
     assert headers.localised(["Text", "Column 2 (2)", "Column 2"], {1: "column"}, "ru") == ["Text", "Столбец 2", "Column 2"]
     assert next(csv_table.Parser(";").feed_all('a;"b;c";d"e')) == ["a", "b;c", 'd"e']
 
@@ -180,3 +180,67 @@ def test_session_query_sort_copy_export(spark, tmp_path):
     again = run(state.data, Query())
     assert viewport(again, 3, 9, [1, 0])[0] == {"row": 3, "values": ["2", "fourth"]} and copy_range(again, 4, 4, [1]) == ""
     assert export_csv(again, str(tmp_path / "all.csv")) == 5
+
+
+def test_records_end_at_any_line_end(spark, tmp_path):
+    assert table(opened(spark, tmp_path, "r.csv", "a,b\r1,2\r3,4\r5,6\r")) == [["1", "2"], ["3", "4"], ["5", "6"]]
+    assert table(opened(spark, tmp_path, "m.csv", 'a,b\n1,2\r3,4\r\n\r"5\r",6\n"7\n8",9\r10,11')) == [["1", "2"], ["3", "4"], ["5\r", "6"], ["7\n8", "9"], ["10", "11"]]
+
+
+def test_records_equal_a_parser_of_one_pass(spark):
+    """Random texts of quotes, line ends and delimiters, in blocks of few lines."""
+    import random
+
+    rng = random.Random(1)
+    for _ in range(12):
+        field = lambda: rng.choice(["x", "yy", "", '"q,\r\n""z"', '"\n"', '"a\r"'])
+        text = "".join(",".join(field() for _ in range(rng.randint(1, 3))) + rng.choice(["\n", "\r\n", "\r", "\n\n", "\r\r"]) for _ in range(30))
+        want = list(csv_table.Parser(",").feed_all(text))
+        lines = text.split("\n")
+        cut = sorted(rng.sample(range(1, len(lines)), 4))
+        blocks = [(i, x) for i, (a, z) in enumerate(zip([0, *cut], [*cut, len(lines)])) for x in lines[a:z]]
+        frame = spark.createDataFrame(blocks, "block long, value string").coalesce(1)
+        got = csv_table.records(frame).orderBy("record").collect()
+        assert [r.fields for r in got] == want and [r.record for r in got] == list(range(len(want)))
+
+
+def test_autoruns_items(monkeypatch):
+    text = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    streams = {("Header",): text("Autoruns") + b"\0\0\0\x09"}
+
+    def item(number, **fields):
+        streams.update({("Items", number, *k.split("/")): v for k, v in fields.items()})
+
+    item("10", Name=text("last"), Flags=struct.pack("<I", 1))
+    item("2", Name=text("Logon"), Flags=struct.pack("<I", 0x100))
+    item("3", Name=text("HKLM\\Run"), Flags=struct.pack("<I", 0x1000))
+    item("4", Name=text("tool"), TimeStamp=(132537600000000000).to_bytes(8, "little"), Payload=b"\x01\x02\xff", Category=text("own"))
+    monkeypatch.setattr(binary_tables, "compound_streams", lambda data: streams)
+    rows = [dict(r) for r in binary_tables.autoruns(b"")]
+    assert [(r["Item"], r["Name"], r["Category (inferred 1)"], r["Location"]) for r in rows] == [("2", "Logon", "Logon", ""), ("3", "HKLM\\Run", "Logon", "HKLM\\Run"), ("4", "tool", "Logon", "HKLM\\Run"), ("10", "last", "Logon", "HKLM\\Run")]
+    assert rows[2] | {"TimeStamp": "2020-12-30T00:00:00+00:00", "$raw/Payload": "01 02 FF", "Payload": "01 02 FF", "Category": "own", "Flags": ""} == rows[2]
+    assert rows[0]["Flags"] == "0x00000100"
+    streams[("Header",)] = b"xx"
+    with pytest.raises(ValueError):
+        next(binary_tables.autoruns(b""))
+
+
+def hive(*lists):
+    """A hive of one key whose list of keys below it holds the given offsets."""
+    key = bytearray(80)
+    key[:2] = b"nk"
+    struct.pack_into("<HQ", key, 2, 0x20, 132537600000000000)
+    struct.pack_into("<II", key, 20, len(lists), 0)
+    struct.pack_into("<I", key, 28, 0x20 + 84)
+    struct.pack_into("<H4s", key, 72, 3, b"")
+    key[76:79] = b"Top"
+    below = b"li" + struct.pack("<H", len(lists)) + b"".join(struct.pack("<I", x) for x in lists)
+    cell = lambda body: struct.pack("<i", -(len(body) + 4)) + bytes(body)
+    return b"regf" + bytes(32) + struct.pack("<I", 0x20) + bytes(4096 - 40) + bytes(0x20) + cell(key) + cell(below)
+
+
+def test_registry_keys_and_cycles():
+    (one,) = binary_tables.registry(hive())
+    assert dict(one) | {"Key": "\\Top", "Type": "Key", "Last write": "2020-12-30T00:00:00+00:00", "Parse warning": ""} == dict(one)
+    rows = [dict(r) for r in binary_tables.registry(hive(0x20, 0x9000))]
+    assert [r["Parse warning"] != "" for r in rows] == [False, True, True] and "twice" in rows[1]["Parse warning"]
