@@ -1,305 +1,333 @@
 """Probabilistic suffix tree over words, and the unigram base it is compared with.
 
-A document is a start mark, its words and an end mark. Words that make up at least `least` of all training
-tokens are symbols; rarer and unknown ones stand for a symbol of their last two characters, and their own
-probability within that class follows their counts. A state of the tree is a context: up to `depth` symbols
-before the next one. A context is kept if it makes up at least `least` of all tokens and scoring its tokens by
-its own distribution rather than its parent's (the context less its first symbol) gains at least `divergence`
-digits a token, the part of its distribution that it leaves to its parent counted as such; or if a kept one
-ends in it. Distributions are smoothed with the parent's by Witten-Bell weights, the root's with the uniform
-one. A token is scored by the longest suffix state of what precedes it.
-
-Counts come from all training documents. There are at most 1/least symbols and classes each, depth/least
-contexts, and `RARE`*depth/least successors at any corpus size: these go to the driver and to the tasks. Words
-and their counts stay on the executors, and documents are tokenised and scored in buckets of bounded size.
+A document is a start mark, its words and an end mark. The states of the tree are contexts: up to `depth` symbols
+before the next one. A state's distribution is its own counts mixed with its parent's distribution (the context
+less its first symbol); the root's is the base: each training token's count and one for unknown words. A context
+is retained if it occurs twice or more, its parent is retained and has several successors, and its distribution
+diverges from its parent's: over all training tokens that follow it, each left out of the counts that predict it,
+its own distribution gains `divergence` digits a token on average. A token is scored by the longest suffix of what
+precedes it that is a retained state. All words and contexts of the corpus are candidates: the tree grows with it.
+
+Nothing of the tree comes to the driver or to every task. Documents are kept in buckets of bounded size, words and
+contexts as 64-bit hashes. A bucket sends out its counts, sorted and packed by shards of the hashes, and gets the
+totals back in the same order; of longer contexts it sends only those whose parts other buckets share, since no
+other total can differ from its own. The sums of a context's gains travel the same way. A hot word is one entry a
+bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import at_least, remainder, store, text_bytes
+from ._common import at_least, remainder, store, store_by, text_bytes
 
 U = np.uint64
-DEPTH, LEAST, DIVERGENCE = 3, 1e-4, 0.01
-#: A context's successors with fewer than least/RARE of all tokens are left to its parent.
-RARE = 100
-#: Bytes of text that are tokenised, and scored, at a time.
-BUCKET = 6e6
-START, END = 0, 1
-BASE = 0xD1342543DE82EF95
-
-
-def _code(symbols: np.ndarray) -> np.ndarray:
-    x = (symbols.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)
-    x = (x ^ x >> U(29)) * U(0xBF58476D1CE4E5B9)
-    return x ^ x >> U(32)
-
-
-def _contexts(symbols: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: the rows whose symbol has a context so long, its hash, and its parent's. place: 0 at a start mark."""
-    codes, power = _code(symbols), 1
-    rows = np.flatnonzero(place > 0)
-    hashes = np.zeros(len(rows), np.uint64)
-    yield 0, rows, hashes, hashes
-    for d in range(1, depth + 1):
-        has = place[rows] >= d
-        rows, parent = rows[has], hashes[has]
-        hashes = parent + codes[rows - d] * U(power)
-        power = power * BASE % (1 << 64)
-        yield d, rows, hashes, parent
-
-
-def _among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Mask of the values that are in the sorted array."""
-    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values if len(of) else np.zeros(len(values), bool)
-
-
-@dataclass
-class Symbols:
-    """Frequent words and the classes of the others; 0 is the start, 1 the end, 2 the class of classes too rare."""
-
-    words: dict[str, int]
-    classes: dict[str, int]
-    counts: np.ndarray  # of a class's training tokens
-    kinds: np.ndarray  # of its distinct words
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """The empty word is the end mark."""
-        word, kind = self.words.get, self.classes.get
-        return np.array([END if not w else word(w) or kind(w[-2:], 2) for w in words], np.int64)
-
-    def within(self, symbols: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 probability of words with counts c among those of their symbol."""
-        own = self.counts[symbols]
-        return np.where(own >= 0, np.log10((c + 1.0) / (np.maximum(own, 0) + self.kinds[symbols] + 1.0)), 0.0)
-
-
-def symbols_of(words: DataFrame, total: int, least: float) -> Symbols:
-    """words: word, n (positive; the empty word counts end marks)."""
-    frequent = [r.word for r in words.where((F.col("n") >= F.lit(least * total)) & (F.col("word") != "")).orderBy("word").collect()]
-    names = {w: i + 3 for i, w in enumerate(frequent)}
-    rest = words.where((F.col("n") < F.lit(least * total)) & (F.col("word") != ""))
-    kinds = rest.groupBy(F.substring("word", -2, 2).alias("kind")).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
-    kinds = kinds.withColumn("kind", F.when(F.col("n") >= F.lit(least * total), F.col("kind")))
-    found = kinds.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).orderBy("kind").collect()
-    classes = {r.kind: len(names) + 3 + i for i, r in enumerate(x for x in found if x.kind is not None)}
-    size = len(names) + len(classes) + 3
-    counts, of = np.full(size, -1.0), np.full(size, 0.0)
-    counts[2] = 0
-    for r in found:
-        at = 2 if r.kind is None else classes[r.kind]
-        counts[at], of[at] = r.n, r.words
-    return Symbols(names, classes, counts, of)
-
-
-def _tokenised(group: pa.Table) -> pa.Table:
-    """A row for a bucket: its documents' tokens as places in its list of words, and how often it trains on each."""
-    text = pc.ascii_lower(group.column("text").combine_chunks().fill_null(""))
-    held = group.column("held_out").combine_chunks()
-    lists = pc.ascii_split_whitespace(text)
+DEPTH, DIVERGENCE = 2, 0.01
+#: What a state with many tokens leaves to its parent.
+LEFT = 0.3
+#: Bytes of text in a bucket.
+BUCKET = 8e6
+#: Gains are added up in thousandths of a digit, as whole numbers, so that their order does not matter.
+UNIT = 1000
+START, END = U(1), U(2)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ x >> U(31)
+    x *= U(0x9E3779B97F4A7C15)
+    x ^= x >> U(29)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(32)
+    return x
+
+
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, a place of each, and the number of the hash at each place."""
+    order = np.argsort(hashes)
+    same = hashes[order]
+    new = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])) if len(same) else np.empty(0, bool))
+    number = np.empty(len(hashes), np.int32)
+    number[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(hashes)))
+    return same[new], order[new], number
+
+
+def _left(total: np.ndarray) -> np.ndarray:
+    """The weight of a state's parent: one without tokens, and LEFT with many."""
+    return LEFT + (1 - LEFT) / (total + 1)
+
+
+def _bucket(ids: pa.Array, text: pa.Array, held: pa.Array, number: int) -> pa.RecordBatch:
+    """A row of TOKENS: documents, and their tokens as places in the list of word hashes."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
     flat = lists.flatten().dictionary_encode()
-    ids = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     words = flat.dictionary.to_pylist()
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     doc = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     if "" in words:  # white space at either end splits off an empty part
-        real = ids != words.index("")
-        ids, doc = ids[real], doc[real]
-    else:
-        words.append("")
-    train = ~held.to_numpy(zero_copy_only=False)
-    counts = np.bincount(ids, train[doc], len(words)).astype(np.int64)
-    counts[words.index("")] = train.sum()
-    one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
-    return pa.table(
-        [group.column("bucket").combine_chunks()[:1], one(group.column("doc_id").combine_chunks(), None), one(held, None), one(np.bincount(doc, minlength=len(text)), pa.int64()), one(ids, pa.int32()), one(words, pa.string()), one(counts, pa.int64())],
-        names=["bucket", "doc_ids", "held", "lengths", "ids", "words", "counts"],
-    )
+        real = at != words.index("")
+        at, doc = at[real], doc[real]
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    lengths = np.bincount(doc, minlength=len(text)).astype(np.int64)
+    return pa.record_batch([pa.array([number]), one(ids), one(held), one(pa.array(lengths)), one(pa.array(at)), one(pa.array(codes.view(np.int64)))], names=["bucket", "doc_ids", "held", "lengths", "ids", "words"])
 
 
-TOKENS = "bucket int, doc_ids array<long>, held array<boolean>, lengths array<long>, ids array<int>, words array<string>, counts array<long>"
+TOKENS = "bucket long, doc_ids array<long>, held array<boolean>, lengths array<long>, ids array<int>, words array<long>"
 
 
-def _sequence(symbols: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All documents' symbols from start to end mark, each one's place in its document, and where the words are."""
-    ends = np.cumsum(lengths + 2)
-    doc = np.repeat(np.arange(len(lengths)), lengths + 2)
-    place = np.arange(len(doc)) - (ends - lengths - 2)[doc]
-    inner = (place > 0) & (place <= lengths[doc])
-    out = np.where(place == 0, START, END)
-    out[inner] = symbols[ids]
-    return out, place, inner
+def _tokenised(most: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        parts, size = [], 0
+        for b in batches:
+            text = b.column(1).cast(pa.large_string()).fill_null("")
+            ends, begin = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)), 0
+            while begin < b.num_rows:
+                gone = int(ends[begin - 1]) if begin else 0
+                stop = min(int(np.searchsorted(ends, gone + most - size)) + 1, b.num_rows)
+                parts.append((b.column(0)[begin:stop], text[begin:stop], b.column(2)[begin:stop]))
+                size += int(ends[stop - 1]) - gone
+                begin = stop
+                if size >= most:
+                    yield _bucket(*(pa.concat_arrays(x) for x in zip(*parts)), number)
+                    parts, size, number = [], 0, number + 1
+        if parts:
+            yield _bucket(*(pa.concat_arrays(x) for x in zip(*parts)), number)
+
+    return rows
 
 
-def _counted(symbols: Symbols, lowest: int, depth: int, within: np.ndarray | None):
-    """Counts of the successors of contexts of lowest to depth symbols; of those whose hashes are within, if given."""
+class Bucket:
+    """A bucket's grams: each position's symbol with up to depth symbols before it, counted here and by everyone.
+
+    A gram of d + 1 symbols is a context of the position behind it. known: by step, the totals of what the bucket
+    sent, in the order of its keys. Steps are 0 for the words, and for each d the counts (2 d - 1) and gains (2 d).
+    """
+
+    def __init__(self, row: pa.Table, known: dict[int, np.ndarray]):
+        doc_ids, held, lengths, ids, words = (row.column(k).combine_chunks().values for k in ("doc_ids", "held", "lengths", "ids", "words"))
+        self.doc_ids, self.held, self.lengths, self.known = doc_ids, held, lengths.to_numpy(), known
+        self.number = row.column("bucket")[0].as_py()
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths + 2)
+        ends = np.cumsum(self.lengths + 2)
+        self.place = (np.arange(len(self.doc)) - (ends - self.lengths - 2)[self.doc]).astype(np.int32)
+        inner = (self.place > 0) & (self.place <= self.lengths[self.doc])
+        # the words' hashes, and the marks', are numbered; so the tokens need no sorting
+        alphabet = _mix(np.concatenate(([START, END], words.to_numpy().view(np.uint64))) * U(0xA0761D6478BD642F))
+        of = np.where(self.place == 0, 0, 1)
+        of[inner] = ids.to_numpy() + 2
+        self.train = ~held.to_numpy(zero_copy_only=False)[self.doc]
+        self.codes = alphabet[of]
+        self.alphabet, _, number = _numbered(alphabet)
+        self.words = number[of]
+        # of each level: the positions with a gram, their hashes, its distinct ones, and which of these each position has
+        self.grams, self.total, self.shared = [], [], []
+        #: Positions whose context may be extended by a symbol.
+        self.open = np.ones(len(self.doc), bool)
+
+    def _spread(self, rows: np.ndarray, values: np.ndarray, kind) -> np.ndarray:
+        out = np.zeros(len(self.doc), kind)
+        out[rows] = values
+        return out
+
+    def count(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts grams of d symbols before one. Returns keys that others may have as well, and their counts here."""
+        rows = np.flatnonzero((self.place >= d) & self.open)
+        if d == 0:
+            hashes, keys, number = self.codes, self.alphabet, self.words
+            may = np.ones(len(keys), bool)
+        else:
+            shorter, of, _, _ = self.grams[d - 1]
+            hashes = _mix((of if len(shorter) == len(self.doc) else self._spread(shorter, of, np.uint64))[rows] ^ self.codes[rows - d] * U(2 * d + 1))
+            keys, first, number = _numbered(hashes)
+            at = rows[first]
+            may = self.shared[d - 1][at] & self.shared[d - 1][at - 1]
+        own = np.bincount(number[self.train[rows]], minlength=len(keys)).astype(np.int64)
+        total = own.copy()
+        step = max(2 * d - 1, 0)
+        if step in self.known:
+            total[may] = self.known[step]
+        self.grams.append((rows, hashes, keys, number))
+        self.total.append(self._spread(rows, total[number], np.int64))
+        self.shared.append(self._spread(rows, (total != own)[number], bool))
+        return keys[may], own[may]
+
+    def judge(self, d: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves open the positions whose context of d symbols is retained. Returns keys and gains of those that others share."""
+        behind = np.flatnonzero((self.place >= d) & self.open)
+        seen, parts = self.total[d - 1][behind - 1], self.total[d - 1][behind]
+        # a parent's tokens: those of the context that is a symbol shorter
+        whole = self.total[d - 2][behind - 1] if d > 1 else np.full(len(behind), n)
+        behind = behind[(seen >= 2) & (parts < whole)]
+        gain = np.zeros(len(behind))
+        live = np.flatnonzero(self.train[behind])
+        at = behind[live]
+        p = self.total[0][at] / (n + v)
+        for k in range(1, d + 1):
+            before, rest = p, self.total[k - 1][at - 1] - 1
+            left = _left(rest)
+            p = (1 - left) * (self.total[k][at] - 1) / np.maximum(rest, 1) + left * before
+        if len(at):
+            gain[live] = np.log10(p / before)
+        rows, _, keys, number = self.grams[d - 1]
+        number = (number if len(rows) == len(self.doc) else self._spread(rows, number, np.int32))[behind - 1]
+        own = np.rint(np.bincount(number, gain, len(keys)) * UNIT).astype(np.int64)
+        shared, total = np.zeros(len(keys), bool), own.copy()
+        shared[number] = self.shared[d - 1][behind - 1]
+        if 2 * d in self.known:
+            total[shared] = self.known[2 * d]
+        good = total[number] >= divergence * UNIT * self.total[d - 1][behind - 1]
+        self.open = self._spread(behind, good, bool)
+        return keys[shared], own[shared]
+
+    def up_to(self, step: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+        """What the bucket sends at a step; the steps before it are known."""
+        out = self.count(0)
+        for s in range(1, step + 1):
+            out = self.judge(s // 2, n, v, divergence) if s % 2 == 0 else self.count((s + 1) // 2)
+        return out
+
+    def scores(self, depth: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of all positions by the base and by the tree, zero at start marks."""
+        self.count(0)
+        base = (self.total[0] + 1) / (n + v + 1)
+        p = base.copy()
+        for d in range(1, depth + 1):
+            self.count(d)
+            self.judge(d, n, v, divergence)
+            at = np.flatnonzero(self.open)
+            total = self.total[d - 1][at - 1]
+            left = _left(total)
+            p[at] = (1 - left) * self.total[d][at] / total + left * p[at]
+        marks = self.place == 0
+        return np.where(marks, 0.0, np.log10(base)), np.where(marks, 0.0, np.log10(p))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of all of them at a time, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+SENT = "bucket long, shard int, keys binary, data binary"
+
+
+def _rows(number: int, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.Table:
+    """A row for each shard of the hashes that holds some of the sorted keys."""
+    of = ((keys >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(of, prepend=-1))
+    parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]))
+    steps = [_packed(np.diff(keys[a:z], prepend=U(0)).view(np.int64)) for a, z in parts]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = ([number] * len(parts), of[cut], steps, [_packed(values[a:z]) for a, z in parts])
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["bucket", "shard", "keys", "data"])
+
+
+def _first_counts(shards: int):
+    """Each bucket's words, of which nothing is known yet."""
 
     def rows(batches):
         for b in batches:
             for i in range(b.num_rows):
-                held, lengths, ids, words = (b.column(k)[i].values for k in ("held", "lengths", "ids", "words"))
-                train, lengths = ~held.to_numpy(zero_copy_only=False), lengths.to_numpy()
-                seq, place, _ = _sequence(symbols.of(words.to_pylist()), ids.to_numpy()[np.repeat(train, lengths)], lengths[train])
-                for d, at, hashes, parent in _contexts(seq, place, depth):
-                    if d < lowest:
-                        continue
-                    if within is not None:
-                        ok = _among(hashes, within)
-                        at, hashes, parent = at[ok], hashes[ok], parent[ok]
-                    if not len(at):
-                        continue
-                    key = _code(hashes ^ _code(seq[at]) * U(0xA0761D6478BD642F))
-                    order = np.argsort(key)
-                    cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-                    one, n = order[cut], np.diff(cut, append=len(order))
-                    yield pa.record_batch([pa.array(hashes[one].view(np.int64)), pa.array(parent[one].view(np.int64)), pa.array(np.full(len(one), d, np.int32)), pa.array(seq[at[one]].astype(np.int32)), pa.array(n)], names=["context", "parent", "depth", "symbol", "n"])
+                bucket = Bucket(pa.table(b.slice(i, 1)), {})
+                yield from _rows(bucket.number, *bucket.count(0), shards).to_batches()
 
     return rows
 
 
-def _successors(tokens: DataFrame, symbols: Symbols, total: int, least: float, lowest: int, depth: int, within: np.ndarray | None) -> pd.DataFrame:
-    """Of frequent contexts: the successors that are not rare, with the context's tokens and distinct successors."""
-    counts = tokens.select("held", "lengths", "ids", "words").mapInArrow(_counted(symbols, lowest, depth, within), "context long, parent long, depth int, symbol int, n long")
-    counts = counts.groupBy("context", "symbol").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.sum("n").alias("n"))
-    rare = F.lit(least * total / RARE)
-    some = F.when(F.col("n") >= rare, F.struct("symbol", "n"))
-    found = counts.groupBy("context").agg(F.min("parent").alias("parent"), F.min("depth").alias("depth"), F.sum("n").alias("total"), F.count("*").alias("kinds"), F.collect_list(some).alias("next"))
-    return found.where(F.col("total") >= F.lit(least * total)).toPandas()
-
-
-class Tree:
-    """States in arrays: each one's parent, the weight of its parent, and smoothed logs of the symbols seen after it."""
-
-    def __init__(self, found: pd.DataFrame, size: int, depth: int, divergence: float):
-        self.depth, self.size = depth, size
-        known = {0: (0, 0, 0, 0, [])} | {r.context: (r.parent, r.depth, r.total, r.kinds, r.next) for r in found.itertuples()}
-        smooth: dict[int, dict[int, float]] = {}
-        weight: dict[int, float] = {}
-        keep = {0}
-        for c in sorted(known, key=lambda c: known[c][1]):
-            parent, _, total, kinds, following = known[c]
-            if c and parent not in smooth:
-                continue
-            seen = {x["symbol"]: x["n"] for x in following}
-            rest = total - sum(seen.values())
-            weight[c] = (kinds + rest) / (total + kinds) if total else 1.0
-
-            def below(s, at=parent if c else None):
-                w = 1.0
-                while at is not None:
-                    if s in smooth[at]:
-                        return w * smooth[at][s]
-                    w, at = w * weight[at], known[at][0] if at else None
-                return w / size
-
-            up = {s: below(s) for s in seen}
-            smooth[c] = {s: n / (total + kinds) + weight[c] * up[s] for s, n in seen.items()}
-            gain = sum(n * np.log10(smooth[c][s] / up[s]) for s, n in seen.items()) + rest * np.log10(weight[c])
-            at = c
-            if c and gain / total >= divergence:
-                while at not in keep:
-                    keep.add(at)
-                    at = known[at][0]
-        order = sorted(keep, key=lambda c: (known[c][1], c))
-        index = {c: i for i, c in enumerate(order)}
-        self.parent = np.array([index[known[c][0]] if c else -1 for c in order])
-        self.log_weight = np.log10([weight[c] for c in order])
-        pairs = sorted((index[c] * size + s, q) for c in order for s, q in smooth[c].items())
-        self.keys = np.array([k for k, _ in pairs], np.int64)
-        self.logs = np.log10([q for _, q in pairs]) if pairs else np.empty(0)
-        hashes = np.array(order, np.int64).view(np.uint64)
-        self.by_hash = np.argsort(hashes)
-        self.hashes = hashes[self.by_hash]
-
-    def score(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after those before it in its document; zero at start marks."""
-        state = np.zeros(len(symbols), np.int64)
-        for _, at, hashes, _ in _contexts(symbols, place, self.depth):
-            i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[i] == hashes
-            state[at[hit]] = self.by_hash[i[hit]]
-        live, total = np.flatnonzero(place > 0), np.zeros(len(symbols))
-        state = state[live]
-        while len(live):
-            key = state * self.size + symbols[live]
-            i = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-            hit = self.keys[i] == key if len(self.keys) else np.zeros(len(live), bool)
-            total[live[hit]] += self.logs[i[hit]]
-            live, state = live[~hit], state[~hit]
-            total[live] += self.log_weight[state]
-            state = self.parent[state]
-            total[live[state < 0]] -= np.log10(self.size)
-            live, state = live[state >= 0], state[state >= 0]
-        return total
-
-
-def fit(tokens: DataFrame, symbols: Symbols, total: int, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE) -> Tree:
-    """A pass over the tokens for contexts of up to one symbol, and one for each further length, for frequent ones."""
-    found = [_successors(tokens, symbols, total, least, 0, min(depth, 1), None)]
-    codes = _code(np.arange(len(symbols.counts)))
-    for d in range(2, depth + 1):
-        # a context that is frequent follows from a frequent successor of one a symbol shorter
-        longer = [(int(r.context), x["symbol"]) for r in found[-1].itertuples() if r.depth == d - 1 for x in r.next if x["n"] >= least * total]
-        within = np.array(sorted((int(codes[s]) + c * BASE) % (1 << 64) for c, s in longer), np.uint64)
-        if not len(within):
-            break
-        found.append(_successors(tokens, symbols, total, least, d, d, within))
-    return Tree(pd.concat(found), len(symbols.counts), depth, divergence)
+def _summed(batches):
+    """Totals of all that was sent, to each sender in its order; in bucket -1 how many keys have a positive total."""
+    parts = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(4)))]
+    if not parts:
+        return
+    keys = [np.cumsum(_unpacked(k).view(np.uint64), dtype=np.uint64) for _, _, k, _ in parts]
+    values, sizes = np.concatenate([_unpacked(x) for _, _, _, x in parts]), [len(k) for k in keys]
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+    total, each = np.add.reduceat(values[order], np.flatnonzero(new)), np.empty(len(keys), np.int64)
+    each[order] = total[np.cumsum(new) - 1]
+    own = np.split(each, np.cumsum(sizes)[:-1])
+    yield pa.record_batch([pa.array([-1]), pa.array([int((total > 0).sum())], pa.int32()), pa.array([b""], pa.binary())], names=["bucket", "shard", "data"])
+    for (number, shard, _, _), x in zip(parts, own):
+        yield pa.record_batch([pa.array([number]), pa.array([shard], pa.int32()), pa.array([_packed(x)], pa.binary())], names=["bucket", "shard", "data"])
+
+
+def _known(table: pa.Table) -> dict[int, np.ndarray]:
+    """By step, what came back, in the order of shards and so of keys."""
+    out: dict[int, list] = {}
+    for step, _, data in sorted(zip(*(table.column(x).to_pylist() for x in ("step", "shard", "data"))), key=lambda x: x[:2]):
+        out.setdefault(step, []).append(_unpacked(data))
+    return {step: np.concatenate(x) for step, x in out.items()}
+
+
+def _sent(step: int, shards: int, *sizes):
+    def rows(row: pa.Table, known: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _rows(0, np.empty(0, np.uint64), np.empty(0, np.int64), shards)
+        bucket = Bucket(row, _known(known))
+        return _rows(bucket.number, *bucket.up_to(step, *sizes), shards)
+
+    return rows
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(model, n: int, v: int):
-    def rows(docs: pa.Table, words: pa.Table) -> pa.Table:
-        symbols, tree = model.value
-        ids_of, held, lengths, ids, names = (docs.column(k)[0].values for k in ("doc_ids", "held", "lengths", "ids", "words"))
-        lengths, ids, names = lengths.to_numpy(), ids.to_numpy(), names.to_pylist()
-        c = np.zeros(len(names), np.int64)
-        c[words.column("id").to_numpy()] = words.column("c").to_numpy()
-        end = names.index("")
-        own = symbols.of(names)
-        seq, place, inner = _sequence(own, ids, lengths)
-        log = tree.score(seq, place)
-        log[inner] += symbols.within(own, c)[ids]
-        base = np.log10((c + 1.0) / (n + v + 1.0))
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        per = lambda x, last: np.bincount(doc, x[ids], len(lengths)) + last
-        whole = np.bincount(np.repeat(np.arange(len(lengths)), lengths + 2), log, len(lengths))
-        return pa.table([ids_of, held, pa.array(lengths + 1), pa.array(per(c > 0, c[end] > 0).astype(np.int64)), pa.array(per(base, base[end])), pa.array(whole)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _scored(depth: int, *sizes):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def rows(row: pa.Table, known: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        bucket = Bucket(row, _known(known))
+        base, log = bucket.scores(depth, *sizes)
+        of = lambda x: np.bincount(bucket.doc, x, len(bucket.lengths))
+        n_known = of((bucket.total[0] > 0) & (bucket.place > 0)).astype(np.int64)
+        return pa.table([bucket.doc_ids, bucket.held, pa.array(bucket.lengths + 1), pa.array(n_known), pa.array(of(base)), pa.array(of(log))], names=names)
 
     return rows
 
 
-def score(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, least: float = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, divergence: float = DIVERGENCE, bucket: float = BUCKET) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents that are not held out (default: crc32(doc_id as text) mod 7 is 2). Words are
     lower-cased (A-Z), then comes a document's end; score is the tree's log10 probability of all of them,
-    base_score that of the smoothed unigram counts. Null texts count as empty: one token, the end. Rows with a
-    null doc_id are learned from. Repeated rows are separate documents. Without training documents all symbols
-    are equally likely, and the base gives each token probability one. Empty table: no rows. Other columns are
-    not read.
+    base_score that of the smoothed unigram counts. Words count as equal if 64 bits of their hashes are. Null
+    texts count as empty: one token, the end. Rows with a null doc_id are learned from. Repeated rows are separate
+    documents. Without training documents the base gives each token probability one, and so does the tree. Empty
+    table: no rows. Other columns are not read.
     """
     held = F.coalesce(held_out if held_out is not None else remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    n = at_least(docs.sparkSession, text_bytes(docs) / BUCKET)
-    text = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    tokens = store(text.groupBy("bucket").applyInArrow(_tokenised, TOKENS), "tokens")
-    local = tokens.select("bucket", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "x")).select("bucket", "id", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    words = store(local.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    known = words.where("n > 0")
-    total, distinct = (int(x or 0) for x in known.agg(F.sum("n"), F.count("*")).first())
-    symbols = symbols_of(known, total, least)
-    model = docs.sparkSession.sparkContext.broadcast((symbols, fit(tokens, symbols, total, depth, least, divergence)))
-    per_bucket = local.select(F.col("bucket").alias("of"), "id", "word").join(words, "word").select("of", "id", F.col("n").alias("c"))
-    own = tokens.select("bucket", "doc_ids", "held", "lengths", "ids", "words")
-    found = own.groupBy("bucket").cogroup(per_bucket.groupBy("of")).applyInArrow(_scored(model, total, distinct), SCORED)
-    return found.withColumn("train_tokens", F.lit(total).cast("long"))
+    n_parts = at_least(docs.sparkSession, text_bytes(docs) / 4 / bucket)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
+    tokens = store_by(text.mapInArrow(_tokenised(bucket), TOKENS), "bucket", n_parts, "tokens")
+    shards = 4 * n_parts  # of which each of the shuffle's partitions gets about four
+    exchanged = lambda sent: store(sent.repartition(n_parts, "shard").mapInArrow(_summed, "bucket long, shard int, data binary"), "totals")
+    first = exchanged(tokens.mapInArrow(_first_counts(shards), SENT))
+    v = int(first.where("bucket = -1").agg(F.sum("shard")).first()[0] or 0)
+    learned = tokens.select(F.explode(F.arrays_zip("held", "lengths")).alias("x")).where("not x.held").agg(F.sum(F.col("x.lengths") + 1), F.count("*")).first()
+    total, starts = int(learned[0] or 0), int(learned[1] or 0)
+    sizes = (total, v - (starts > 0), divergence)  # the start mark is counted with the words, and is none
+    known = first.withColumn("step", F.lit(0))
+
+    def passed(function, kind):
+        return tokens.groupBy("bucket").cogroup(known.where("bucket >= 0").groupBy("bucket")).applyInArrow(function, kind)
+
+    for step in range(1, 2 * depth + 1):
+        known = known.union(exchanged(passed(_sent(step, shards, *sizes), SENT)).withColumn("step", F.lit(step)))
+    return passed(_scored(depth, *sizes), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))

@@ -1,9 +1,9 @@
 import collections
+import functools
 import math
 import random
 import zlib
 
-import numpy as np
 import pytest
 
 from lodestone.llm import suffix_tree as op
@@ -38,6 +38,51 @@ def fields(frame):
     return [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in frame.collect()]
 
 
+def brute_scores(rows, depth, divergence):
+    """The tree's score of each text, by counts of tuples."""
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    docs = [(d, [0, *(w.decode() for w in (t or "").encode().lower().split()), 1]) for d, t in rows]
+    grams = collections.Counter(tuple(x[i - k : i + 1]) for d, x in docs if not held(d) for i in range(len(x)) for k in range(min(i, depth) + 1))
+    n = sum(len(x) - 1 for d, x in docs if not held(d))
+    v = sum(len(g) == 1 and g != (0,) for g in grams)
+    left = lambda total: 0.3 + 0.7 / (total + 1)
+
+    def chain(x, i, out):
+        p = [(grams[(x[i],)] + 1 - out) / (n + v + 1 - out)]
+        for k in range(1, min(i, depth) + 1):
+            total = grams[tuple(x[i - k : i])] - out
+            own = (grams[tuple(x[i - k : i + 1])] - out) / total if total > 0 else 0
+            p.append((1 - left(total)) * own + left(total) * p[-1] if total >= 0 else p[-1])
+        return p
+
+    gains = collections.Counter()
+    for d, x in docs:
+        if not held(d):
+            for i in range(1, len(x)):
+                p = chain(x, i, 1)
+                for k in range(1, len(p)):
+                    gains[tuple(x[i - k : i])] += math.log10(p[k] / p[k - 1])
+    retained = lambda c: grams[c] >= 2 and round(gains[c] * 1000) / 1000 >= divergence * grams[c]
+    most = {}
+    for g, m in grams.items():
+        most[g[:-1]] = max(most.get(g[:-1], 0), m)
+
+    @functools.cache
+    def state(c):
+        return not c or state(c[1:]) and (not c[1:] or grams[c[1:]] > most[c[1:]]) and retained(c)
+
+    out = []
+    for d, x in docs:
+        whole = 0
+        for i in range(1, len(x)):
+            p, k = chain(x, i, 0), 0
+            while k + 1 < len(p) and state(tuple(x[i - k - 1 : i])):
+                k += 1
+            whole += math.log10(p[k])
+        out.append((d, whole))
+    return out
+
+
 def test_base_equals_brute_force_and_the_tree_beats_it(docs):
     rows = [(i + 100, t) for i, t in corpus()] + [x for x in ODD if x[1] is None or len(x[1]) < 100]
     got = op.score(docs(rows))
@@ -47,59 +92,32 @@ def test_base_equals_brute_force_and_the_tree_beats_it(docs):
     assert long_ and all(r.score > r.base_score for r in long_)
 
 
-def test_probabilities_of_each_state_add_up_to_one(docs, spark):
-    rows = corpus(60)
-    tokens = docs(rows)
-    found = {}
-    real = op.Tree.__init__
-
-    def keep(self, *args):
-        real(self, *args)
-        found["tree"] = self
-
-    op.Tree.__init__ = keep
-    try:
-        op.score(tokens, least=0.01).count()
-    finally:
-        op.Tree.__init__ = real
-    tree = found["tree"]
-    assert len(tree.parent) > 4
-    for state in range(len(tree.parent)):
-        total = 0.0
-        for symbol in range(tree.size):
-            at, log = state, 0.0
-            while True:
-                if at < 0:
-                    log -= math.log10(tree.size)
-                    break
-                i = np.searchsorted(tree.keys, at * tree.size + symbol)
-                if i < len(tree.keys) and tree.keys[i] == at * tree.size + symbol:
-                    log += tree.logs[i]
-                    break
-                log += tree.log_weight[at]
-                at = tree.parent[at]
-            total += 10**log
-        # back-off leaves the parent's share of symbols seen in a state unspent, and never gives too much
-        assert total <= 1 + 1e-9
-
-
-def test_scores_by_hand():
-    # after symbol 3 comes 4 always; nothing else is known
-    import pandas as pd
-
-    seq, place = np.array([0, 3, 4, 1]), np.arange(4)
-    codes = [int(h.view(np.int64)[0]) for _, at, h, _ in op._contexts(np.array([0, 3, 4]), np.arange(3), 1) for h in [h[at == 2]] if len(h)]
-    found = pd.DataFrame([(0, 0, 0, 30, 3, [{"symbol": s, "n": 10} for s in (1, 3, 4)]), (codes[1], 0, 1, 10, 1, [{"symbol": 4, "n": 10}])], columns=["context", "parent", "depth", "total", "kinds", "next"])
-    tree = op.Tree(found, 5, 1, 0.01)
-    root = 10 / 33 + 3 / 33 / 5
-    want = [0, math.log10(root), math.log10(10 / 11 + root / 11), math.log10(root)]
-    assert tree.score(seq, place).tolist() == pytest.approx(want)
+@pytest.mark.parametrize("bucket", [300, 1e6])
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_scores_equal_brute_force(docs, depth, bucket):
+    """However the documents fall into buckets."""
+    rows = [(i, t) for i, t in corpus(80, seed=2)] + [(200, None), (201, "")]
+    got = {r.doc_id: r.score for r in op.score(docs(rows).repartition(3), depth=depth, divergence=0.02, bucket=bucket).collect()}
+    assert got == {d: pytest.approx(x) for d, x in brute_scores(rows, depth, 0.02)}
+
+
+def test_the_tree_grows_with_the_corpus(docs):
+    """A context that occurs twice is learned at any size: a passage of new words is likelier where another document repeats it."""
+    rng = random.Random(4)
+    fill = corpus(200, seed=5)
+    train = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % 7 != 2][:20]
+    passage = lambda: " ".join(f"new{rng.randrange(10**9)}" for _ in range(40))
+    texts = [passage() for _ in train]
+    twice = [passage() for _ in train[:10]]
+    rows = fill + list(zip(train, [*twice, *texts[10:]])) + [(d + 5000, t) for d, t in zip(train, twice)]
+    got = {r.doc_id: r.score / r.n_tokens for r in op.score(docs(rows), held_out=op.F.lit(False)).collect()}
+    assert min(got[d] for d in train[:10]) > max(got[d] for d in train[10:])
 
 
 def test_defined_cases(docs):
     assert op.score(docs([])).count() == 0
     only_held = [(d, "x y") for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
     got = op.score(docs(only_held)).collect()
-    assert all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) for r in got)
-    long_ = op.score(docs([(1, "word " * 40_000), (2, None)])).collect()
-    assert sorted(r.n_tokens for r in long_) == [1, 40_001]
+    assert all((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0) for r in got)
+    long_ = op.score(docs([(1, "word " * 40_000), (2, None), (3, "w" * 3_000_000)])).collect()
+    assert sorted(r.n_tokens for r in long_) == [1, 2, 40_001]
