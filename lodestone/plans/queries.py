@@ -113,9 +113,9 @@ def srch_01_any_cell(spark, d):
     return _keys(view.matching(_parts(spark, d), Query("12", mode="text")), "p_partkey")
 
 
-@query("select p_partkey from part where contains(lower(p_name), 'steel') or contains(lower(p_brand), 'steel') or contains(lower(p_type), 'steel')")
+@query("select p_partkey from part where contains(lower(p_name), 'gear') or contains(lower(p_brand), 'gear') or contains(lower(p_type), 'gear')")
 def srch_02_auto(spark, d):
-    return _keys(view.matching(_parts(spark, d), Query("  STEEL ")), "p_partkey")
+    return _keys(view.matching(_parts(spark, d), Query("  GEAR ")), "p_partkey")
 
 
 @query(r"select page_id from pages where lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '\.([^.]*)$', 1)) in ('html', 'php')")
@@ -143,9 +143,8 @@ def _texts(spark, d):
 
 @query("select sum(len(regexp_extract_all(text, 'the', 0, 'i'))) as hits, sum(case when regexp_matches(text, 'the', 'i') then 1 else 0 end) as rows_hit from documents")
 def occ_02_counts(spark, d):
-    docs = _table(spark, d, "documents")
-    n = F.regexp_count("text", F.lit("(?iu)the"))
-    return docs.agg(F.sum(n).cast("long").alias("hits"), F.sum(F.when(n > 0, 1).otherwise(0)).cast("long").alias("rows_hit"))
+    found = occurrences.counts(occurrences.hits(_texts(spark, d), "the"))
+    return spark.createDataFrame([(found["hits"], found["rows"])], "hits long, rows_hit long")
 
 
 @query("select (row_number() over (order by doc_id)) - 1 as row_id, len(regexp_extract_all(text, 'éau', 0, 'i')) as hits from documents qualify len(regexp_extract_all(text, 'éau', 0, 'i')) > 0")
