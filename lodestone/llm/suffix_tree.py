@@ -11,7 +11,7 @@ precedes it that is a retained state. All words and contexts of the corpus are c
 Nothing of the tree comes to the driver or to every task. Documents are kept in buckets of bounded size, words and
 contexts as 64-bit hashes. A bucket sends out its counts, sorted and packed by shards of the hashes, and gets the
 totals back in the same order; of longer contexts it sends only those whose parts other buckets share, since no
-other total can differ from its own. The sums of a context's gains travel the same way. A hot word is one entry a
+other total can differ from its own. Then the sums of all contexts' gains travel the same way. A hot word is one entry a
 bucket.
 """
 
@@ -69,12 +69,13 @@ def _bucket(ids: pa.Array, text: pa.Array, held: pa.Array, number: int) -> pa.Re
     """A row of TOKENS: documents, and their tokens as places in the list of word hashes."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.to_pylist()
+    words = flat.dictionary.to_numpy(zero_copy_only=False)
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     doc = np.repeat(np.arange(len(text)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    if "" in words:  # white space at either end splits off an empty part
-        real = at != words.index("")
+    empty = np.flatnonzero(words == "")
+    if len(empty):  # white space at either end splits off an empty part
+        real = at != empty[0]
         at, doc = at[real], doc[real]
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     lengths = np.bincount(doc, minlength=len(text)).astype(np.int64)
@@ -110,7 +111,7 @@ class Bucket:
     """A bucket's grams: each position's symbol with up to depth symbols before it, counted here and by everyone.
 
     A gram of d + 1 symbols is a context of the position behind it. known: by step, the totals of what the bucket
-    sent, in the order of its keys. Steps are 0 for the words, and for each d the counts (2 d - 1) and gains (2 d).
+    sent, in the order of its keys. Steps are the counts of grams of 0 to depth symbols before one, then all gains.
     """
 
     def __init__(self, row: pa.Table, known: dict[int, np.ndarray]):
@@ -133,6 +134,7 @@ class Bucket:
         self.grams, self.total, self.shared = [], [], []
         #: Positions whose context may be extended by a symbol.
         self.open = np.ones(len(self.doc), bool)
+        self.candidates: list[np.ndarray] = []
 
     def _spread(self, rows: np.ndarray, values: np.ndarray, kind) -> np.ndarray:
         out = np.zeros(len(self.doc), kind)
@@ -153,58 +155,91 @@ class Bucket:
             may = self.shared[d - 1][at] & self.shared[d - 1][at - 1]
         own = np.bincount(number[self.train[rows]], minlength=len(keys)).astype(np.int64)
         total = own.copy()
-        step = max(2 * d - 1, 0)
-        if step in self.known:
-            total[may] = self.known[step]
+        if d in self.known:
+            total[may] = self.known[d]
         self.grams.append((rows, hashes, keys, number))
         self.total.append(self._spread(rows, total[number], np.int64))
         self.shared.append(self._spread(rows, (total != own)[number], bool))
         return keys[may], own[may]
 
-    def judge(self, d: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves open the positions whose context of d symbols is retained. Returns keys and gains of those that others share."""
+    def narrow(self, d: int, n: int) -> None:
+        """Leaves open the positions whose context of d symbols occurs twice and whose parent has several successors."""
         behind = np.flatnonzero((self.place >= d) & self.open)
         seen, parts = self.total[d - 1][behind - 1], self.total[d - 1][behind]
         # a parent's tokens: those of the context that is a symbol shorter
-        whole = self.total[d - 2][behind - 1] if d > 1 else np.full(len(behind), n)
-        behind = behind[(seen >= 2) & (parts < whole)]
-        gain = np.zeros(len(behind))
-        live = np.flatnonzero(self.train[behind])
-        at = behind[live]
-        p = self.total[0][at] / (n + v)
-        for k in range(1, d + 1):
-            before, rest = p, self.total[k - 1][at - 1] - 1
-            left = _left(rest)
-            p = (1 - left) * (self.total[k][at] - 1) / np.maximum(rest, 1) + left * before
-        if len(at):
-            gain[live] = np.log10(p / before)
-        rows, _, keys, number = self.grams[d - 1]
-        number = (number if len(rows) == len(self.doc) else self._spread(rows, number, np.int32))[behind - 1]
-        own = np.rint(np.bincount(number, gain, len(keys)) * UNIT).astype(np.int64)
-        shared, total = np.zeros(len(keys), bool), own.copy()
-        shared[number] = self.shared[d - 1][behind - 1]
-        if 2 * d in self.known:
-            total[shared] = self.known[2 * d]
-        good = total[number] >= divergence * UNIT * self.total[d - 1][behind - 1]
-        self.open = self._spread(behind, good, bool)
-        return keys[shared], own[shared]
-
-    def up_to(self, step: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
-        """What the bucket sends at a step; the steps before it are known."""
+        whole = self.total[d - 2][behind - 1] if d > 1 else n
+        self.open = np.zeros(len(self.doc), bool)
+        self.open[behind[(seen >= 2) & (parts < whole)]] = True
+        self.candidates.append(self.open)
+
+    def counts(self, depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts grams of up to depth symbols before one, and returns the longest as count does."""
         out = self.count(0)
-        for s in range(1, step + 1):
-            out = self.judge(s // 2, n, v, divergence) if s % 2 == 0 else self.count((s + 1) // 2)
+        for d in range(1, depth + 1):
+            out = self.count(d)
+            self.narrow(d, n)
         return out
 
+    def gains(self, n: int, v: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each length of contexts: its distinct ones, which of them others share, their gains here, and the candidates' contexts."""
+        keys, shared, own, contexts = [], [], [], []
+        p = self.total[0] / max(n + v, 1)
+        for d, open_ in enumerate(self.candidates, 1):
+            rows, _, each, number = self.grams[d - 1]
+            behind = np.flatnonzero(open_)
+            number = (number if len(rows) == len(self.doc) else self._spread(rows, number, np.int32))[behind - 1]
+            live = np.flatnonzero(self.train[behind])
+            at = behind[live]
+            rest = self.total[d - 1][at - 1] - 1
+            left = _left(rest)
+            before = p[at]
+            p[at] = (1 - left) * (self.total[d][at] - 1) / np.maximum(rest, 1) + left * before
+            gain = np.log10(p[at] / before)
+            some = np.zeros(len(each), bool)
+            some[number] = self.shared[d - 1][behind - 1]
+            keys.append(each)
+            shared.append(some)
+            own.append(np.rint(np.bincount(number[live], gain, len(each)) * UNIT).astype(np.int64))
+            contexts.append(number)
+        return keys, shared, own, contexts
+
+    def sent_gains(self, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the contexts that others may have as well, and their gains here."""
+        keys, shared, own, _ = self.gains(n, v)
+        keys, own = (np.concatenate([x[s] for x, s in zip(y, shared)]) for y in (keys, own))
+        order = np.argsort(keys)
+        return keys[order], own[order]
+
+    def retained(self, n: int, v: int, divergence: float) -> Iterator[np.ndarray]:
+        """For each length, the positions whose context is a state of the tree."""
+        keys, shared, own, contexts = self.gains(n, v)
+        back = self.known.get(len(self.candidates) + 1)
+        if back is not None:
+            sent = np.concatenate([x[s] for x, s in zip(keys, shared)])
+            came = np.empty(len(sent), np.int64)
+            came[np.argsort(sent)] = back
+        begin, parent = 0, np.ones(len(self.doc), bool)
+        for d, total in enumerate(own, 1):
+            if back is not None:
+                end = begin + int(shared[d - 1].sum())
+                total[shared[d - 1]] = came[begin:end]
+                begin = end
+            behind = np.flatnonzero(self.candidates[d - 1])
+            good = total[contexts[d - 1]] >= divergence * UNIT * self.total[d - 1][behind - 1]
+            parent = self._spread(behind, good, bool) & parent
+            yield np.flatnonzero(parent)
+
+    def up_to(self, step: int, depth: int, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the bucket sends at a step; the steps before it are known."""
+        out = self.counts(min(step, depth), n)
+        return out if step <= depth else self.sent_gains(n, v)
+
     def scores(self, depth: int, n: int, v: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of all positions by the base and by the tree, zero at start marks."""
-        self.count(0)
+        self.counts(depth, n)
         base = (self.total[0] + 1) / (n + v + 1)
         p = base.copy()
-        for d in range(1, depth + 1):
-            self.count(d)
-            self.judge(d, n, v, divergence)
-            at = np.flatnonzero(self.open)
+        for d, at in enumerate(self.retained(n, v, divergence), 1):
             total = self.total[d - 1][at - 1]
             left = _left(total)
             p[at] = (1 - left) * self.total[d][at] / total + left * p[at]
@@ -274,12 +309,12 @@ def _known(table: pa.Table) -> dict[int, np.ndarray]:
     return {step: np.concatenate(x) for step, x in out.items()}
 
 
-def _sent(step: int, shards: int, *sizes):
+def _sent(step: int, shards: int, depth: int, n: int, v: int):
     def rows(row: pa.Table, known: pa.Table) -> pa.Table:
         if not row.num_rows:
             return _rows(0, np.empty(0, np.uint64), np.empty(0, np.int64), shards)
         bucket = Bucket(row, _known(known))
-        return _rows(bucket.number, *bucket.up_to(step, *sizes), shards)
+        return _rows(bucket.number, *bucket.up_to(step, depth, n, v), shards)
 
     return rows
 
@@ -322,12 +357,12 @@ def score(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, d
     v = int(first.where("bucket = -1").agg(F.sum("shard")).first()[0] or 0)
     learned = tokens.select(F.explode(F.arrays_zip("held", "lengths")).alias("x")).where("not x.held").agg(F.sum(F.col("x.lengths") + 1), F.count("*")).first()
     total, starts = int(learned[0] or 0), int(learned[1] or 0)
-    sizes = (total, v - (starts > 0), divergence)  # the start mark is counted with the words, and is none
+    sizes = (depth, total, v - (starts > 0))  # the start mark is counted with the words, and is none
     known = first.withColumn("step", F.lit(0))
 
     def passed(function, kind):
         return tokens.groupBy("bucket").cogroup(known.where("bucket >= 0").groupBy("bucket")).applyInArrow(function, kind)
 
-    for step in range(1, 2 * depth + 1):
+    for step in range(1, depth + 2 if depth else 1):
         known = known.union(exchanged(passed(_sent(step, shards, *sizes), SENT)).withColumn("step", F.lit(step)))
-    return passed(_scored(depth, *sizes), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))
+    return passed(_scored(*sizes, divergence), SCORED).withColumn("train_tokens", F.lit(total).cast("long"))
