@@ -137,6 +137,11 @@ def srch_07_inline_flag(spark, d):
     return _keys(view.matching(_parts(spark, d), Query("(?-i)a")), "p_partkey")
 
 
+@query("select p_partkey from part")
+def srch_09_empty_query(spark, d):
+    return _keys(view.matching(_parts(spark, d), Query("  ")), "p_partkey")
+
+
 def _texts(spark, d):
     return from_frame(_table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], ["text"])
 
@@ -310,12 +315,6 @@ def snk_11_hit_page(spark, d):
     return occurrences.hit_page(occurrences.hits(_texts(spark, d), "TION"), 50, 100).select(F.col("row").alias("row_id"))
 
 
-@query("select count_if(n <> 4) as irregular, max(n) as widest from (select len(string_split(p_name, ' ')) as n from part)")
-def imp_03_irregular(spark, d):
-    n = F.size(F.split("p_name", " "))
-    return _table(spark, d, "part").agg(F.count_if(n != 4).alias("irregular"), F.max(n).cast("long").alias("widest"))
-
-
 @query("select event_id, last_value(case when event_id % 7 = 0 then event_type end ignore nulls) over (partition by user_id order by event_id) as category from events")
 def imp_05_forward_fill(spark, d):
     events = _table(spark, d, "events").withColumn("category", F.when(F.col("event_id") % 7 == 0, F.col("event_type")))
