@@ -178,6 +178,9 @@ class Bucket:
         for d in range(1, depth + 1):
             out = self.count(d)
             self.narrow(d, n)
+        # what follows needs neither the hashes of positions nor the longest grams
+        self.grams = [(rows, None, keys, number) for rows, _, keys, number in self.grams[:depth]]
+        self.codes = None
         return out
 
     def gains(self, n: int, v: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
