@@ -336,8 +336,9 @@ def imp_09_mode(spark, d):
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49)")
 def imp_01_semi_join(spark, d):
-    wanted = _table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return _table(spark, d, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey")
+    orders = _orders(spark, d)
+    wanted = _table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("c0"))
+    return _keys(view.restricted(orders, orders.df.join(wanted, "c0").select(ROW)).df, "o_orderkey")
 
 
 @query("select event_id, unnest(json_keys(props)) as pointer from events where props is not null and json_valid(props)")

@@ -1,16 +1,16 @@
 import duckdb
 import pytest
 
-from lodestone.plans import file_queries, queries
+from lodestone.plans import file_queries, queries, reading_queries
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [n for n, f in queries.queries().items() if f.__module__ == file_queries.__name__] + ["srch_09_empty_query"]
+NAMES = [n for n, f in queries.queries().items() if f.__module__ in (file_queries.__name__, reading_queries.__name__)] + ["srch_09_empty_query", "imp_01_semi_join"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_a_written_file_opens_as_its_table(spark, name):
     sql = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "part", "orders"):
+    for t in ("nation", "region", "customer", "supplier", "part", "orders", "lineitem", "documents"):
         sql.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     found = queries.queries()[name](spark, FOLDER)
     columns = sorted(found.columns)
