@@ -102,7 +102,11 @@ def copy_range(view: View, first: int, last: int, columns: list[int]) -> str:
     if n * len(columns) > COPY_CELLS:
         raise ValueError("too many cells to copy")
     cells = view.data.cells()
-    rows = [list(r) for r in view.slice(first, n).select(*(cells[c].alias(f"v{i}") for i, c in enumerate(columns))).collect()]
+    wanted = view.slice(first, n).select(*(cells[c].alias(f"v{i}") for i, c in enumerate(columns)))
+    # sized before it is fetched, so that the driver never holds more
+    if (wanted.agg(F.sum(F.octet_length(F.concat(*wanted.columns)))).first()[0] or 0) > COPY_BYTES:
+        raise ValueError("too much text to copy")
+    rows = [list(r) for r in wanted.collect()]
     text = rows[0][0] if len(rows) == len(columns) == 1 else _written(rows, "\t", "\r\n").removesuffix("\r\n")
     if len(text.encode()) > COPY_BYTES:
         raise ValueError("too much text to copy")
