@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, line_dedup, packing, shingle_dedup, toxicity
+from lodestone.llm import decontamination, line_dedup, packing, shingle_simhash, toxicity
 from lodestone.llm._common import store, table
 
 
@@ -16,8 +16,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
-    return shingle_dedup.one_of_each(docs)
+    """One document of each group of near-duplicates (SimHash of five-word shingles, similarity 0.8) stays."""
+    return shingle_simhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
