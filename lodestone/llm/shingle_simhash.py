@@ -9,9 +9,11 @@ their shingles. Links are joined by large-star and small-star rounds.
 
 Only components are needed. So under a key a node is compared with a few, not with all: the nodes near the first one
 make a group, whose members are paired with the one nearest to the group's majority of bits (copies of one text lie
-around it), and neighbours in the order of their bits are paired too. Of these pairs, each node's most frequent ones
-are judged first; then all that this has left in different components. A group of n near copies costs a multiple of
-n. A pair is missed if it meets under no key, or only where each is paired with others that aren't similar enough.
+around it), and neighbours in the order of their bits are paired too. The keys of FEW words come first, and of their
+pairs each node's most frequent ones are judged; then those of all words, where only pairs of different components
+are made: the most frequent ones and all that are near by all bits are judged. A group of n near copies costs a
+multiple of n, at most two pairs a key and node, and few of them after the first words have linked it. A pair is
+missed if it meets under no key, or only where each is paired with others that aren't similar enough.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .simhash_dedup import decode
 
 #: 64-bit words of a fingerprint; each gives six keys.
 WORDS = 20
+#: Words whose keys link most copies of large groups before those of all words are compared.
+FEW = 2
 #: Documents that are split into words at a time, and shingles whose bits are counted at a time.
 ROWS, COUNTED = 1000, 100_000
 #: Bits of a Bloom filter for each of its elements, and how many of them an element sets.
@@ -98,13 +102,14 @@ def _own(size: int):
     return rows
 
 
-def _filed(batches):
-    """A node's rows: a key, the node, its set's size, and a word of the fingerprint that the key isn't made from."""
+def _filed(batches, first: int = WORDS):
+    """A node's rows by its first words: a key, the node, its set's size, a word of the fingerprint that the key isn't
+    made from, and the columns behind the fingerprint."""
     for b in batches:
         node, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         words = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(node), -1)
         count = words.shape[1]
-        for w in range(count):
+        for w in range(min(first, count)):
             x = words[:, w]
             for s in range(2):
                 code = decode((x >> U(23 * s) & U((1 << 23) - 1)).astype(np.int32)).astype(np.int32)
@@ -112,7 +117,7 @@ def _filed(batches):
                     group = (x >> U(46 + 6 * g) & U(63)).astype(np.int32)
                     key = ((w * 2 + s) * 3 + g << 18) + (code << 6) + group
                     check = words[:, (w + 1 + g) % count].view(np.int64)
-                    yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(node), pa.array(n), pa.array(check)], names=["key", "node", "n", "check"])
+                    yield pa.record_batch([pa.array(key.astype(np.int32)), pa.array(node), pa.array(n), pa.array(check), *b.columns[3:]], names=["key", "node", "n", "check", *b.schema.names[3:]])
 
 
 FILED = "key int, node long, n int, check long"
@@ -122,13 +127,14 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y)
 
 
-def _near(similarity: float, radius: int, nearer: int, next_: int):
+def _near(similarity: float, radius: int, nearer: int, next_: int, rooted: bool = False):
     """a, b: nodes of one key, b the middle of a's group (so often: middle) or its neighbour in the order of their bits.
 
-    A group reaches as far as `radius`; pairs beyond `nearer`, neighbours beyond `next_`, are left to the other keys."""
+    A group reaches as far as `radius`; pairs beyond `nearer`, neighbours beyond `next_`, are left to the other keys.
+    rooted: a fifth column names each node's component (zero: it has none), and pairs within one are left out."""
 
     def rows(batches):
-        key, node, n, check = _gathered(batches, 4)
+        key, node, n, check, *root = _gathered(batches, 5 if rooted else 4)
         check = check.view(np.uint64)
         by = np.lexsort((node, check, key))
         several = np.zeros(len(key), bool)
@@ -137,12 +143,13 @@ def _near(similarity: float, radius: int, nearer: int, next_: int):
         several[:-1] |= same
         by = by[several]
         key, node, n, check = key[by], node[by], n[by], check[by]
+        of = np.where(root[0][by] == 0, node, root[0][by]) if root else node
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         found: list = []
 
         def pair(i, j, middle, most):
-            ok = (node[i] != node[j]) & (_distance(check[i], check[j]) <= most) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+            ok = (of[i] != of[j]) & (_distance(check[i], check[j]) <= most) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
             found.append((node[i][ok], node[j][ok], np.full(int(ok.sum()), middle, np.int32)))
 
         follow = np.flatnonzero(~new)
@@ -259,11 +266,16 @@ def grouped(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     keyed = _keyed(docs)
     own = store(keyed.select("_d", "_key", "text").mapInArrow(_own(size), "_d long, _key long, node long, n int, words binary"), "shingled")
     nodes = store(own.where("n > 0").groupBy("node").agg(F.min(F.struct("_d", "_key", "n", "words")).alias("x")).select("node", "x.*"), "nodes")
-    filed = nodes.select("node", "n", "words").mapInArrow(_filed, FILED).repartition(n, "key")
-    met = filed.mapInArrow(_near(similarity, *(farthest(64, similarity, x) for x in (3, 1, 0))), "a long, b long, middle int, times int")
-    met = store(met.groupBy("a", "b").agg(F.sum("middle").alias("middle"), F.sum("times").alias("times")), "met")
+    reach = [farthest(64, similarity, x) for x in (3, 1, 0)]
     ordered = (F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
+    def compared(filed: DataFrame, rooted: bool) -> tuple[DataFrame, DataFrame]:
+        """What meets under the keys, and of it each node's most frequent pairs."""
+        met = filed.repartition(n, "key").mapInArrow(_near(similarity, *reach, rooted), "a long, b long, middle int, times int")
+        met = store(met.groupBy("a", "b").agg(F.sum("middle").alias("middle"), F.sum("times").alias("times")), "met")
+        best = met.groupBy("a").agg(F.max(F.struct("middle", "b"))["b"].alias("m"), F.max(F.struct("times", "b"))["b"].alias("t"))
+        return met, store(best.select("a", F.explode(F.array("m", "t")).alias("b")).select(*ordered).distinct(), "best")
+
     def judged(found: DataFrame) -> DataFrame:
         """Sets are made again, of one row of each node in a pair."""
         wanted = found.select(F.col("u").alias("node")).union(found.select(F.col("v").alias("node"))).distinct()
@@ -274,19 +286,17 @@ def grouped(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         whole = found.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
         return store(whole.select("u", "v", "x", "y").mapInArrow(_judged(similarity), pair), "links")
 
-    best = met.groupBy("a").agg(F.max(F.struct("middle", "b"))["b"].alias("m"), F.max(F.struct("times", "b"))["b"].alias("t"))
-    best = store(best.select("a", F.explode(F.array("m", "t")).alias("b")).select(*ordered).distinct(), "best")
-    links = judged(best)
+    few = nodes.select("node", "n", "words").mapInArrow(lambda batches: _filed(batches, FEW), FILED)
+    links = judged(compared(few, False)[1])
     roots = store(components(links), "roots")
-    apart = met.select(*ordered).distinct()
-    for end in ("u", "v"):
-        apart = apart.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    apart = apart.where("root_u <> root_v").select("u", "v").join(best, ["u", "v"], "left_anti")
-    words = nodes.select("node", "words")
-    both = store(apart, "apart").join(words.toDF("u", "x"), "u").join(words.toDF("v", "y"), "v").select("u", "v", "x", "y")
-    close = store(both.mapInArrow(_close(farthest(64 * WORDS, similarity, 3.5)), pair), "close")
-    if not close.isEmpty():
-        more = judged(close)
+    known = nodes.join(roots, "node", "left").select("node", "n", "words", F.coalesce("root", F.lit(0)).alias("root"))
+    met, best = compared(known.mapInArrow(_filed, f"{FILED}, root long"), True)
+    if not met.isEmpty():
+        apart = met.select(*ordered).distinct().join(best, ["u", "v"], "left_anti")
+        words = nodes.select("node", "words")
+        both = store(apart, "apart").join(words.toDF("u", "x"), "u").join(words.toDF("v", "y"), "v").select("u", "v", "x", "y")
+        close = store(both.mapInArrow(_close(farthest(64 * WORDS, similarity, 3.5)), pair), "close")
+        more = judged(best.union(close))
         if not more.isEmpty():
             roots = components(links.union(more))
     return own.join(roots, "node", "left").select("_d", "_key", "node", F.coalesce("root", "node").alias("root"))

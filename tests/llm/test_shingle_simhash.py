@@ -42,6 +42,34 @@ def test_pairs_of_a_large_group_grow_with_its_size(spark):
     assert set(met["a"]) | set(met["b"]) == set(range(1000))
 
 
+def test_a_linked_group_is_not_paired_again(docs, monkeypatch):
+    """Copies that the first words' keys link make no pairs under the many keys of the others, and none is left over."""
+    rng, made, real = random.Random(6), [], op.store
+    text = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(text))]
+    for i in range(2, 201):
+        at = rng.sample(range(300), 3)
+        rows.append((i, " ".join(f"new{i}" if k in at else w for k, w in enumerate(text))))
+
+    def spy(frame, tag):
+        out = real(frame, tag)
+        made.extend([out.count()] * (tag == "met"))
+        return out
+
+    monkeypatch.setattr(op, "store", spy)
+    assert [r.doc_id for r in op.one_of_each(docs(rows)).collect()] == [1]
+    assert sum(made) <= 2 * 6 * op.FEW * len(rows)
+
+
+def test_pairs_of_one_component_are_left_out(spark):
+    """Nodes 1 to 3 are alike: 1 and 2 are known to be of one component, 3 has none yet."""
+    words = op.fingerprints([np.arange(1, 200, dtype=np.uint64)])[0].tobytes()
+    rows = spark.createDataFrame([(1, 199, words, 1), (2, 199, words, 1), (3, 199, words, 0)], "node long, n int, words binary, root long")
+    filed = rows.mapInArrow(op._filed, f"{op.FILED}, root long").repartition(2, "key")
+    met = filed.mapInArrow(op._near(0.8, 18, 12, 9, True), "a long, b long, middle int, times int").toPandas()
+    assert {frozenset(x) for x in zip(met["a"], met["b"])} <= {frozenset({1, 3}), frozenset({2, 3})} and 3 in {*met["a"], *met["b"]}
+
+
 def test_pipeline_uses_fingerprints(spark, docs, monkeypatch):
     assert "simhash" in inspect.getsource(corpus_pipeline.near_dedup)
     rng = random.Random(5)
