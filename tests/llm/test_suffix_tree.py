@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from lodestone.llm import suffix_tree as op
@@ -101,6 +102,25 @@ def test_scores_equal_brute_force(docs, depth, bucket):
     assert got == {d: pytest.approx(x) for d, x in brute_scores(rows, depth, 0.02)}
 
 
+def test_totals_move_once_and_gains_come_back_as_bits(docs, monkeypatch):
+    """What came back is read where it lies, not dealt again at each later step; of gains it is told whether they are enough."""
+    plans, real = [], op.added
+
+    def spy(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(frame, name)
+
+    monkeypatch.setattr(op, "added", spy)
+    score = op.score(docs(corpus(80, seed=2)).repartition(3), bucket=300)
+    plans.append(score._jdf.queryExecution().executedPlan().toString())
+    # the exchanges of a step: what is sent by shards, what comes back by buckets; scoring has none
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2, 2, 0]
+    keys, gains, totals = np.array([3, 9], np.uint64), np.array([40, 5]), np.array([5, 2])
+    row = lambda n: op._rows(n, keys, gains, totals, shards=1).to_batches()
+    got = {b.column(0)[0].as_py(): op._unpacked(b.column(2)[0].as_py()).tolist() for b in op._summed(0.01)(iter(row(1) + row(2))) if b.column(0)[0].as_py() > 0}
+    assert got == {1: [1, 0], 2: [1, 0]}
+
+
 def test_the_tree_grows_with_the_corpus(docs):
     """A context that occurs twice is learned at any size: a passage of new words is likelier where another document repeats it."""
     rng = random.Random(4)
